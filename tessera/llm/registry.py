@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
+    "op1_toxicity": ("toxicity", "op1_toxicity", None),
+    "op2_simhash": ("simhash", "op2_simhash", None),
     "op8_quality_rules": ("quality", "op8_quality_rules", "OP8_SQL"),
     "op9_mix_sources": ("mixing", "op9_mix_sources", "OP9_SQL"),
 }
