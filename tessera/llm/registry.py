@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
+    "op5_token_output": ("tokens", "op5_token_output", None),
     "op1_toxicity": ("toxicity", "op1_toxicity", None),
     "op2_simhash": ("simhash", "op2_simhash", None),
     "op8_quality_rules": ("quality", "op8_quality_rules", "OP8_SQL"),
