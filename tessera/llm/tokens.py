@@ -129,7 +129,7 @@ def encoder(path: str, end_id: int) -> Encoder:
 def write_tokens(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> dict:
     """Write the token files of (doc_id, text) under ``out_dir`` and return the index."""
     ship(spark)
-    estimate = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()  # of the files; no job
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files; no job
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, estimate // SHARD_BYTES))
     spark._jvm.org.apache.hadoop.fs.Path(out_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(out_dir))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
