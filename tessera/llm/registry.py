@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
+    "op3_substring_dedup": ("chunks", "op3_substring_dedup", None),
+    "op4_decontaminate": ("decontaminate", "op4_decontaminate", None),
     "op5_token_output": ("tokens", "op5_token_output", None),
     "op1_toxicity": ("toxicity", "op1_toxicity", None),
     "op2_simhash": ("simhash", "op2_simhash", None),
