@@ -77,3 +77,12 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of plans that nothing refers to any more: it does so only once
+    the driver's objects are collected, which may otherwise come long after the disk is needed."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
