@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
+    "op7_line_dedup": ("lines", "op7_line_dedup", None),
+    "op10_license_scan": ("licenses", "op10_license_scan", None),
     "op3_substring_dedup": ("chunks", "op3_substring_dedup", None),
     "op4_decontaminate": ("decontaminate", "op4_decontaminate", None),
     "op5_token_output": ("tokens", "op5_token_output", None),
