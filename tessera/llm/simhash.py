@@ -137,11 +137,13 @@ class VPTree:
         return np.concatenate(where), np.concatenate(leaf)
 
 
-def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, true_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect exactly what pairs within ``radius`` connect: among ``a``, or between ``a`` and ``b``.
 
     Rows are ordered by distance to one vantage point and compared in blocks; a block only sees the
-    columns whose distance the triangle bound allows. Returns (member, representative) pairs."""
+    columns whose distance the triangle bound allows. Returns (member, representative) pairs or, with
+    ``true_pairs``, pairs that lie within ``radius``: each row with its nearest and with one of each
+    group that it joins, so still a few for each row."""
     both = np.unique(a if b is None else np.concatenate([a, b]))
     if len(both) < 2:
         return both[:0], both[:0]
@@ -160,6 +162,7 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tu
 
     step = 512
     label = parent.copy()
+    pairs: list[tuple[int, int]] = []
     for i in range(0, len(rows), step):
         r = rows[i : i + step]
         lo, hi = np.searchsorted(dc, dr[i] - radius), np.searchsorted(dc, dr[min(i + step, len(rows)) - 1] + radius, side="right")
@@ -168,14 +171,20 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tu
         if lo >= hi:
             continue
         c = cols[lo:hi]
-        near = _distance(both[r][:, None], both[c][None, :]) <= radius
+        apart = _distance(both[r][:, None], both[c][None, :])
+        near = apart <= radius
         if b is None:
             near[np.arange(len(r)), np.arange(len(r)) + i - lo] = False
         for k in np.flatnonzero(near.any(axis=1)):
-            mine = find(int(r[k]))
-            for other in np.unique(label[c[near[k]]]):
+            mine, own = find(int(r[k])), c[near[k]]
+            if true_pairs:
+                pairs.append((int(r[k]), int(own[apart[k][near[k]].argmin()])))
+            groups, one = np.unique(label[own], return_index=True)
+            for other, i_ in zip(groups, one, strict=True):
                 other = find(int(other))
                 if other != mine:
+                    if true_pairs:
+                        pairs.append((int(r[k]), int(own[i_])))
                     low, high = (mine, other) if mine < other else (other, mine)
                     parent[high] = low
                     mine = low
@@ -185,6 +194,9 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tu
                 break
             parent[:] = up
         label = parent.copy()
+    if true_pairs:
+        at = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+        return both[at[:, 0]], both[at[:, 1]]
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
 
@@ -193,7 +205,7 @@ def _as_unsigned(s: pd.Series) -> np.ndarray:
     return s.to_numpy(np.int64).astype(np.uint64)
 
 
-def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int = RADIUS, leaf_target: int = LEAF_TARGET, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int = RADIUS, leaf_target: int = LEAF_TARGET, leaf_rows: int = LEAF_ROWS, true_pairs: bool = False) -> DataFrame:
     """``fps``: stored distinct (fp). Returns links (a, b) that connect what lies within ``radius``."""
     ship(spark)
     n = fps.count()
@@ -219,7 +231,7 @@ def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int =
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, k, i, j = _as_unsigned(pdf["fp"]), pdf["k"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a, b = link_groups(fp, None, radius) if i == j else link_groups(fp[k == i], fp[k == j], radius)
+        a, b = link_groups(fp, None, radius, true_pairs) if i == j else link_groups(fp[k == i], fp[k == j], radius, true_pairs)
         return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     return tasks.groupBy("leaf", "i", "j").applyInPandas(link, "a long, b long")
@@ -242,18 +254,89 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(group_fingerprints(spark, prints, store), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays: the one with the smallest id; all columns stay.
+#: Near copies by word shingles: seeds of the views, shingle length and Jaccard similarity.
+VIEWS = (42, 43, 44, 45, 46, 47)
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Ids up to this count are sent to the executors (they are counted first); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
-    Of a group's rows with one id, the one with the smallest hash of its columns stays. The row is found by a grouped minimum over a
-    key that orders rows, and taken out by joining on that key, so no group meets in one task."""
+
+def word_prints(text: str | None, seeds: tuple[int, ...] = VIEWS) -> list[int]:
+    """Fingerprints of a text's distinct words, one for each seed."""
+    import xxhash
+
+    words = sorted(set(text.encode("utf-8", "surrogatepass").lower().split())) if text else []
+    if not words:
+        return [0] * len(seeds)
+    out = []
+    for seed in seeds:
+        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        over = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
+        out.append(int(np.packbits(over, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``rows``: stored (tid, text, u), tid a hash of the text and u a row's own name. Returns links
+    (a, b) of tids whose texts share ``similarity`` of their word shingles.
+
+    Candidates come from one vantage-point tree for each view (a fingerprint of the distinct words
+    under another seed): edits of a few words leave most views within the radius. Every candidate is
+    verified by the exact Jaccard index of the word shingles."""
+    ship(spark)
+
+    @F.pandas_udf("array<long>")
+    def prints(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(word_prints(t), np.uint64).astype(np.int64) for t in texts])
+
+    named = rows.groupBy("tid").agg(F.min("u").alias("u"))
+    some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", prints.asNondeterministic()("text").alias("fps")), "views")
+    pairs = None
+    for v in range(len(VIEWS)):
+        own = store.stage(some.select("tid", F.col("fps")[v].alias("fp")).groupBy("fp").agg(F.min("tid").alias("rep")), "view")
+        links = near_links(spark, own.select("fp"), store, radius, true_pairs=True)
+        left, right = own.select(F.col("fp").alias("a"), F.col("rep").alias("x")), own.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+        found = links.distinct().join(left, "a").join(right, "b").select("x", "y")
+        same = some.select("tid", F.col("fps")[v].alias("fp")).join(own, "fp").where("tid <> rep").select(F.col("tid").alias("x"), F.col("rep").alias("y"))
+        found = store.stage(found.unionByName(same), "candidates")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = store.stage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+    need = store.stage(pairs.select(F.col("x").alias("tid")).unionByName(pairs.select(F.col("y").alias("tid"))).distinct().join(some.select("tid", "u"), "tid"), "need")
+    few = need.count() <= BROADCAST_IDS
+    texts = store.stage(rows.select("u", "text").join(F.broadcast(need) if few else need, "u").select("tid", "text"), "texts")
+    both = pairs.join(texts.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
+
+    @F.pandas_udf("boolean")
+    def alike(s: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(s, t, strict=True):
+            a, b = shingle_set(a, shingle), shingle_set(b, shingle)
+            shared = len(a & b)
+            out.append(shared >= similarity * (len(a) + len(b) - shared))
+        return pd.Series(out)
+
+    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), alike.asNondeterministic()("s", "t").alias("ok")).where("ok").select("a", "b")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest id; all columns stay.
+
+    Of a group's rows with one id, the one with the smallest hash of its columns stays. The row is
+    found by grouped minima, combined before the shuffle, and taken out by its own name, so no group
+    meets in one task."""
     store = Store(spark, "simhash")
-    keyed = docs.withColumn("__tessera_fp", fingerprint(spark, F.col("text")))
     rest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
-    keyed = keyed.withColumn("__tessera_row", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), rest.alias("h"), F.expr("uuid()").alias("u")))
-    kept = store.stage(keyed, "rows")
-    groups = group_fingerprints(spark, kept.select("doc_id", F.col("__tessera_fp").alias("fp")), store)
-    firsts = kept.groupBy("__tessera_fp").agg(F.min("__tessera_row").alias("row"))
-    best = firsts.join(groups, firsts["__tessera_fp"] == groups["fp"]).groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row.u").alias("__tessera_u"))
-    out = kept.join(best, kept["__tessera_row"]["u"] == best["__tessera_u"], "left_semi")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), rest.alias("h"), F.expr("uuid()").alias("u"))
+    kept = store.stage(docs.withColumn("__tessera_tid", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__tessera_row", key), "rows")
+    rows = kept.select(F.col("__tessera_tid").alias("tid"), "text", F.col("__tessera_row.u").alias("u"), F.col("__tessera_row").alias("row"))
+    roots = store.stage(connected_components(spark, near_copies(spark, rows, store, similarity, shingle), store), "roots")
+    firsts = rows.groupBy("tid").agg(F.min("row").alias("row"))
+    best = firsts.join(roots, firsts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("row").alias("row"))
+    best = store.stage(best.select(F.col("row.u").alias("__tessera_u")), "best")
+    return kept.join(best, kept["__tessera_row"]["u"] == best["__tessera_u"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
