@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
+    "op6_suffix_dedup": ("suffixes", "op6_suffix_dedup", None),
     "op7_line_dedup": ("lines", "op7_line_dedup", None),
     "op10_license_scan": ("licenses", "op10_license_scan", None),
     "op3_substring_dedup": ("chunks", "op3_substring_dedup", None),
