@@ -31,25 +31,29 @@ BOILERPLATE = r"(?i)\b(all rights reserved|copyright\s+(©|\(c\)|\d{4})|privacy
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda x: x != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+"))
 
 
-def _chars(text: Column, drop: str) -> Column:
-    return F.length(F.translate(text, drop, ""))
+def _word_chars(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[ \\t-\\r]+", ""))
+
+
+def _count(text: Column, of: str) -> Column:
+    """Characters of ``text`` in the class ``of``; the rest goes in runs, which is quicker than matching each."""
+    return F.length(F.regexp_replace(text, f"[^{of}]+", ""))
 
 
 def line_passes(line: Column) -> Column:
-    """Whether one line with a word stands as prose."""
-    bare = F.translate(line, SPACE, "")
-    n = F.length(bare)
-    letters = F.regexp_replace(bare, r"[^\p{L}]", "")
-    upper = F.regexp_replace(letters, r"[^\p{Lu}]", "")
+    """Whether one line with a word stands as prose. A lambda's expressions are not shared, so the
+    costly operands stand where few lines reach them."""
+    symbols, upper = _count(line, SYMBOLS), _count(line, r"\p{Lu}")
     return (
         line.rlike(TERMINAL)
+        & ((symbols == 0) | (symbols <= _word_chars(line) * MAX_LINE_SYMBOLS))
+        & ((upper <= 4) | (upper <= _count(line, r"\p{L}") * MAX_LINE_UPPER))
         & ~line.rlike(NAVIGATION)
         & ~line.rlike(BOILERPLATE)
-        & (n - _chars(bare, SYMBOLS) <= n * MAX_LINE_SYMBOLS)
-        & (F.length(upper) <= F.greatest(F.length(letters) * MAX_LINE_UPPER, F.lit(4)))
     )
 
 
@@ -64,9 +68,9 @@ def measured(docs: DataFrame) -> DataFrame:
         "doc_id",
         "text",
         words_of(F.col("text")).alias("w"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"),
-        _chars(F.col("text"), SPACE).cast("long").alias("word_chars"),
-        (F.length("text") - _chars(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("lines"),
+        _word_chars(F.col("text")).cast("long").alias("word_chars"),
+        _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
     )
     df = df.withColumn("n_words", F.size("w").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     df = df.withColumn("g", F.expr("CASE WHEN size(w) < 3 THEN cast(array() as array<bigint>) ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"))
@@ -83,7 +87,7 @@ def clean_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lost: float = M
     """(doc_id, text) -> base counts, n_lines, n_bad_lines, clean_text, base_failed, kept."""
     df = measured(docs).withColumn("good", F.filter("lines", line_passes))
     df = df.withColumn("clean", F.array_join("good", "\n"))
-    left = _chars(F.col("clean"), SPACE)
+    left = _word_chars(F.col("clean"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (left >= (1 - max_lost) * F.col("word_chars"))
     return df.select(
