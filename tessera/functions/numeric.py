@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = "decimal(38,10)"
+NUMBER = "decimal(30,10)"  # a sum of two keeps all ten places
 # Tolerances and thresholds that decide results.
 REL_TOL, ABS_FLOOR, HIGH_REL, MEDIUM_REL = "0.01", "0.01", "0.10", "0.03"
 
@@ -20,11 +20,13 @@ def parse_number(text: Column) -> Column:
     part = lambda p, i: F.regexp_extract(s, p, i)
     num = lambda c: F.when(c != "", c.cast(NUMBER))
     mixed, simple, plain = r"^([-+]?)(\d+)[\s\-]+(\d+)\s*/\s*(\d+)", r"^([-+]?)(\d+)\s*/\s*(\d+)", r"^([-+]?(?:\d+(?:\.\d+)?|\.\d+))"
-    sign = lambda p: F.when(part(p, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    frac = lambda a, b: F.try_divide(num(a), num(b)).cast(NUMBER)
+    signed = lambda p, v: F.when(part(p, 1) == "-", -v).otherwise(v)
+    # the quotient's scale follows the divisor's precision, so whole numbers are divided as such
+    whole = lambda c, p: F.when(c != "", c.cast(f"decimal({p},0)"))
+    frac = lambda a, b: F.try_divide(whole(a, 18), whole(b, 12)).cast(NUMBER)
     return (
-        F.when(s.rlike(mixed), sign(mixed) * (num(part(mixed, 2)) + frac(part(mixed, 3), part(mixed, 4))))
-        .when(s.rlike(simple), sign(simple) * frac(part(simple, 2), part(simple, 3)))
+        F.when(s.rlike(mixed), signed(mixed, num(part(mixed, 2)) + frac(part(mixed, 3), part(mixed, 4))))
+        .when(s.rlike(simple), signed(simple, frac(part(simple, 2), part(simple, 3))))
         .when(s.rlike(plain), num(part(plain, 1)))
         .cast(NUMBER)
     )
@@ -38,7 +40,8 @@ def numbers_in(text: Column) -> Column:
 def computed(kind: Column, terms: Column) -> Column:
     """Sum of one or more terms, product of two or more; null for another kind or a null term."""
     total = F.aggregate(terms, _dec("0"), lambda a, x: (a + x).cast(NUMBER))
-    times = F.aggregate(terms, _dec("1"), lambda a, x: (a * x).cast(NUMBER))
+    # a product keeps six places of each factor, so that no digit is lost to the 38 of a decimal
+    times = F.aggregate(terms, _dec("1"), lambda a, x: (a.cast("decimal(20,6)") * x.cast("decimal(16,6)")).cast(NUMBER))
     return F.when((kind == "sum") & (F.size(terms) >= 1), total).when(kind.isin("product", "factor") & (F.size(terms) >= 2), times)
 
 

@@ -153,7 +153,8 @@ ID = r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*"
 def phrase_references(pages: DataFrame, text: str = "text", strong_only: bool = False) -> DataFrame:
     """A row for each distinct reference phrase of a page: rule, target (shaped like an identifier)."""
     rules = [(i, p.replace("{id}", ID)) for i, (p, strong) in enumerate(PHRASES) if strong or not strong_only]
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), lambda x, i=i: F.struct(F.lit(i).alias("rule"), x.alias("target"))) for i, p in rules]))
+    tag = lambda i: lambda x: F.struct(F.lit(i).alias("rule"), x.alias("target"))
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), tag(i)) for i, p in rules]))
     out = pages.withColumn("hit", F.explode(F.array_distinct(found))).select(*pages.columns, "hit.rule", "hit.target")
     return out.where(T.looks_like_sheet_id(F.col("target")))
 

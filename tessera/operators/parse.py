@@ -109,7 +109,7 @@ def parse_findings(replies: DataFrame, ident: str, text: str) -> DataFrame:
     out = replies.join(last, ident)
     fine = F.filter("f", lambda x: F.lower(F.btrim(x["category"])).isin(*CATEGORIES) & F.lower(F.btrim(x["severity"])).isin(*SEVERITIES) & (F.btrim(F.coalesce(x["text"], F.lit(""))) != ""))
     status = F.when(F.col("n") <= 0, "ABSENT").when(F.col("f").isNull() & F.col("open"), "TRUNCATED").when(F.col("f").isNull(), "MALFORMED").when(F.size("f") == 0, "EMPTY").when(F.size(fine) < F.size("f"), "PARTIAL").otherwise("OK")
-    prose = F.when(F.col("cut").isNull(), F.col(text)).otherwise(F.rtrim(F.left(F.col(text), F.col("cut"))))
+    prose = F.when(F.col("cut").isNull(), F.col(text)).otherwise(F.regexp_replace(F.left(F.col(text), F.col("cut")), r"\s+$", ""))
     shaped = F.transform(F.slice(fine, 1, MAX_ITEMS), lambda x: F.struct(
         F.btrim(x["sheet_id"]).alias("sheet_id"), F.lower(F.btrim(x["category"])).alias("category"), F.lower(F.btrim(x["severity"])).alias("severity"), F.btrim(x["text"]).alias("text"),
         F.btrim(x["source_quote"]).alias("source_quote"), x["tile_label"].alias("tile_label"), F.slice(F.coalesce(x["refs"], F.array()), 1, MAX_REFS).alias("refs"), F.left(x["recommended_action"], F.lit(MAX_ACTION)).alias("recommended_action"),
