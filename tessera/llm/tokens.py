@@ -14,6 +14,7 @@ index without shards and gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import array
 import json
 import re
 import uuid
@@ -28,12 +29,16 @@ from pyspark.sql import functions as F
 from tessera.store import Store, ship, table
 
 END_ID = 2
-#: Words whose ids a worker keeps: it is emptied when full, so memory is bounded.
-CACHE_WORDS = 300_000
+#: Pieces whose ids a worker keeps, in two generations: when the younger is full the older goes.
+CACHE_WORDS = 250_000
 #: A shard for so much input, by the planner's estimate, and at least spark.sql.shuffle.partitions of them.
 SHARD_BYTES = 128 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LETTER, _MARK, _SPACE = "a-zß-öø-ÿÀ-ÖØ-Þœ", ".,;:!?|*$%&#", r"\x20\x09-\x0D"
+#: Letters up to a mark or space, the marks up to a space, or else all up to a space.
+_PLAIN = re.compile("[a-zß-öø-ÿœ]+")
+_PIECE = re.compile(f"[{_LETTER}]+(?![^{_SPACE}{_MARK}])|[{_MARK}]+(?![^{_SPACE}])|[^{_SPACE}]+")
 
 
 def file_system(uri: str):
@@ -81,11 +86,20 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
     return np.frombuffer(read_bytes(uri), dtype)
 
 
+def byte_characters() -> list[str]:
+    """The character that byte-level tokenizers write for each byte: itself if it prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
 class Encoder(dict):
-    """Encodes texts with the tokenizers library, word by word, keeping the words met before.
+    """Encodes texts with the tokenizers library, piece by piece, keeping the pieces met before.
 
-    The tokenizer's pre-tokenizer never joins what white space divides, so a text's ids are those of
-    its words in turn; ``check`` holds a tokenizer to that before it is used so."""
+    The tokenizer's pre-tokenizer never joins what white space divides, nor letters and the marks
+    behind them, so a text's ids are those of its pieces in turn; and its normaliser lower-cases, so
+    A-Z may be lowered first (but not where a special token could arise from it). ``check`` holds a
+    tokenizer to both on a probe before it is used so; any other encodes whole texts."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -94,19 +108,38 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.dtype).tobytes()
+        self.old: dict[str, bytes] = {}
+        self.characters = byte_characters()
+        self.code = "H" if self.dtype == "<u2" else "I"
         self.by_word = self.check()
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return array.array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def check(self) -> bool:
-        probe = "It's a Test\tof 12 words,\x0band\nÉtés ! don't  ﬁne\r\n— x's 'll a.b"
-        return self._ids(probe) == b"".join(map(self._ids, _WORD.findall(probe)))
+    def _plain_ids(self, letters: str) -> bytes:
+        """Lower-case letters pass the normaliser and pre-tokenizer as they are, so the model alone can take them."""
+        if not letters.isascii():
+            letters = "".join([self.characters[b] for b in letters.encode()])
+        return array.array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def check(self) -> bool:
+        probe = "It's a Test\tof 12 words,\x0band\nÉtés ! don't  ﬁne\r\n— x's 'll a.b Äpfel|# naïve;: ÇA. \"So,\" e\u0301t STRASSE, ß?"
+        if self._ids(probe) != b"".join(map(self._ids, self.pieces(probe))):
+            return False
+        letters = [w for w in "a i the que naïve straße œuvre über réélection enjeux thlyatat zzyzx ÿþð".split() if _PLAIN.fullmatch(w)]
+        return all(self._plain_ids(w) == self._ids(w) for w in letters)
+
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        if "<|" in text:
+            return _WORD.findall(text)
+        return _PIECE.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self._ids(word)
+        out = self[piece] = self.old.get(piece) or (self._plain_ids(piece) if _PLAIN.fullmatch(piece) else self._ids(piece))
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -114,7 +147,7 @@ class Encoder(dict):
             return self.end
         if not self.by_word:
             return self._ids(text) + self.end
-        return b"".join(map(self.__getitem__, _WORD.findall(text))) + self.end
+        return b"".join(map(self.__getitem__, self.pieces(text))) + self.end
 
 
 _encoders: dict = {}
