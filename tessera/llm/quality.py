@@ -84,7 +84,10 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def clean_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_lost: float = MAX_LOST) -> DataFrame:
-    """(doc_id, text) -> base counts, n_lines, n_bad_lines, clean_text, base_failed, kept."""
+    """(doc_id, text) -> base counts, n_lines, n_bad_lines, clean_text, base_failed, kept.
+
+    Write the result before filtering on it: the optimiser derives constraints from a filter through
+    every step of this projection, which takes it minutes."""
     df = measured(docs).withColumn("good", F.filter("lines", line_passes))
     df = df.withColumn("clean", F.array_join("good", "\n"))
     left = _word_chars(F.col("clean"))
