@@ -28,13 +28,15 @@ def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, threshold: f
 
     Prefix filter: two such sets share one of each other's n - ceil(threshold * n) + 1 rarest tokens,
     so only those meet in the join; frequent tokens never do unless a set has nothing rarer."""
-    own = rows.select(F.col(key).alias("k"), F.col(ident).alias("id"), T.token_set(F.col(text)).alias("s")).where(F.size("s") > 0)
+    own = rows.select(F.col(key).alias("k"), F.col(ident).alias("id"), T.token_set(F.col(text)).alias("s"))
+    own = Store(rows.sparkSession, "pairs").stage(own, "sets").where(F.size("s") > 0)  # read four times
     tokens = own.select("k", "id", F.explode("s").alias("t"))
     rank = tokens.groupBy("k", "t").agg(F.count("*").alias("df"))
     ordered = tokens.join(rank, ["k", "t"]).groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
     n = F.size("o")
     keep = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    prefix = ordered.select("k", "id", F.explode(F.transform(F.slice("o", F.lit(1), keep), lambda x: x["t"])).alias("t"))
+    shared = F.filter(F.slice("o", F.lit(1), keep), lambda x: x["df"] > 1)  # a token of one row meets nobody
+    prefix = ordered.select("k", "id", F.explode(F.transform(shared, lambda x: x["t"])).alias("t"))
     a, b = prefix.select("k", "t", F.col("id").alias("a")), prefix.select("k", "t", F.col("id").alias("b"))
     pairs = a.join(b, ["k", "t"]).where("a < b").select("k", "a", "b").distinct()
     left, right = own.select("k", F.col("id").alias("a"), F.col("s").alias("x")), own.select("k", F.col("id").alias("b"), F.col("s").alias("y"))

@@ -83,6 +83,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files of plans that nothing refers to any more: it does so only once
     the driver's objects are collected, which may otherwise come long after the disk is needed."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round finds the plans, the second what only they referred to; the cleaner is a thread of its own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
