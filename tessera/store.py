@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
 class Store:
     """A folder of staged tables below the shared folder; names are unique to each instance."""
 
@@ -58,7 +61,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context, wherever the driver runs from."""
+    """Send this package to the executors once per Spark context, wherever the driver runs from.
+
+    Texts are long, so a batch for Python holds ``BATCH_ROWS`` rows unless the session says otherwise."""
+    if spark.conf.get(BATCH_SETTING, "10000") == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return
@@ -89,3 +96,17 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+def tidy() -> None:
+    """In a Python worker, which serves many tasks: give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
