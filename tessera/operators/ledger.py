@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.numeric import iou
 from tessera.store import Store
 
 # Thresholds of the duplicate test.
@@ -53,12 +54,17 @@ def compatible(a: str, b: str) -> Column:
     return ~clash(T.equipment_tags) & ~clash(T.measurements) & (T.says_absent(sig(a)) == T.says_absent(sig(b))) & (same | question)
 
 
-def is_duplicate(a: str, b: str) -> Column:
-    """Compatible findings with like texts, or equal quotes and texts that share enough."""
+def is_duplicate(a: str, b: str, rects: bool = False) -> Column:
+    """Compatible findings with like texts, or equal quotes and texts that share enough; with ``rects``
+    also equal quotes in places (x0, y0, x1, y1) that overlap by more than half."""
     overlap = T.jaccard(T.token_set(F.col(f"{a}.text")), T.token_set(F.col(f"{b}.text")))
     quote = T.squash(F.col(f"{a}.source_quote"))
     equal = (quote != "") & (quote == T.squash(F.col(f"{b}.source_quote")))
-    return compatible(a, b) & ((overlap >= TEXT_DUP) | (equal & (overlap >= MODERATE)))
+    place = F.lit(False)
+    if rects:
+        box = lambda s: tuple(F.col(f"{s}.{c}") for c in ("x0", "y0", "x1", "y1"))
+        place = F.coalesce(iou(box(a), box(b)) > IOU_DUP, F.lit(False))
+    return compatible(a, b) & ((overlap >= TEXT_DUP) | (equal & (overlap >= MODERATE)) | (equal & place))
 
 
 def _tokens(text: str | None) -> frozenset[str]:
@@ -97,6 +103,13 @@ def complete_link(rows: DataFrame, key: str, order: str, text: str, threshold: f
     return rows.groupBy(key).applyInPandas(fold, f"{schema},cluster:{kind}")
 
 
+def post_anchor_fold(rows: DataFrame, key: str, threshold: float = TEXT_DUP) -> DataFrame:
+    """The second fold, of placed findings: as ``complete_link``, the best grounded first (adds rank, cluster)."""
+    quality = [F.length(F.btrim(F.coalesce("source_quote", F.lit("")))).desc(), severity_rank(F.col("severity")).desc(), F.col("id").desc(), F.col("text").desc()]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*quality)))
+    return complete_link(ranked, key, "rank", "text", threshold)
+
+
 def merge_clusters(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One finding per cluster: the best grounded member's text, quote, category and anchor as one
     bundle, the highest severity, the union of sources in order, other quotes as support, and whether

@@ -88,6 +88,20 @@ def test_duplicate_predicate_blocks_conflicting_signatures(spark):
     assert [r[0] for r in df.select(L.is_duplicate("a", "b")).collect()] == [False, True]
 
 
+def test_duplicate_places(spark):
+    kind = "struct<text:string,source_quote:string,category:string,x0:double,y0:double,x1:double,y1:double>"
+    one = lambda t, q, x: (t, q, "code", x, 0.0, x + 10, 10.0)
+    rows = [(one("alpha beta", "QUOTE  a", 0.0), one("gamma delta", "quote a", 2.0)), (one("alpha beta", "quote a", 0.0), one("gamma delta", "quote a", 8.0))]
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    assert [r[0] for r in df.select(L.is_duplicate("a", "b", rects=True)).collect()] == [True, False]
+
+
+def test_post_anchor_fold(spark):
+    rows = [("s", "i1", "aa bb cc dd", "q", "low"), ("s", "i2", "aa bb cc dd", "longer", "low"), ("s", "i3", "ee ff", "", "high")]
+    got = {r.id: r.cluster for r in L.post_anchor_fold(spark.createDataFrame(rows, "k string, id string, text string, source_quote string, severity string"), "k").collect()}
+    assert got == {"i2": 1, "i1": 1, "i3": 3}
+
+
 def test_numbering_is_dense(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("v"))
     got = L.number_rows(spark, df, ["v"]).orderBy("v").collect()
