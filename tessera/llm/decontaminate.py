@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.store import ship, table
+from tessera.store import ship, table, tidy
 
 Q = 10
 RATE = 0.06
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that one numpy pass handles.
-PASS_BYTES = 4 << 20
+PASS_BYTES = 1 << 20
 HITS = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
@@ -184,6 +184,7 @@ def leaks(spark: SparkSession, text: Column, benchmark: DataFrame, q: int = Q, r
                         own, size = [], 0
                 out += index.search(own)
                 yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), x, strict=True)) for x in row] for row in out], dtype=object)
+            tidy()
 
         return F.pandas_udf(find, HITS).asNondeterministic()(text)
 

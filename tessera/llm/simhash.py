@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.store import Store, ship, table
+from tessera.store import Store, ship, table, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -292,8 +292,10 @@ def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity:
     ship(spark)
 
     @F.pandas_udf("array<long>")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(word_prints(t), np.uint64).astype(np.int64) for t in texts])
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.array(word_prints(t), np.uint64).astype(np.int64) for t in texts])
+        tidy()
 
     named = rows.groupBy("tid").agg(F.min("u").alias("u"))
     some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", prints.asNondeterministic()("text").alias("fps")), "views")

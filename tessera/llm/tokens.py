@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.store import Store, ship, table
+from tessera.store import Store, ship, table, tidy
 
 END_ID = 2
 #: Pieces whose ids a worker keeps, in two generations: when the younger is full the older goes.
@@ -184,6 +184,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, out_dir: str, tokenizer:
             keys["known"], keys["id"] = pdf["doc_id"].notna(), pdf["doc_id"].fillna(0).astype("int64")
             files["ids"].write(keys.tobytes())
             docs_, at = docs_ + len(own), at + int(sizes.sum())
+        tidy()
         if files:
             files["off"].write(np.array([at], "<i8").tobytes())
             for f in files.values():

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.store import ship, table
+from tessera.store import ship, table, tidy
 
 BUCKETS = 1 << 24
 #: At most so many labelled rows are learned from.
@@ -36,6 +36,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 #: A model with more weights than this is refused rather than sent.
 MAX_WEIGHTS = 2_000_000
 THRESHOLD = 0.3
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -46,7 +48,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -74,16 +76,24 @@ def features(text: str | None) -> np.ndarray:
 
 
 def fit_ftrl(rows: list[tuple[np.ndarray, float]], epochs: int = EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
-    """Sequential FTRL-proximal over (distinct buckets, label) rows -> intercept, buckets, weights."""
-    every = np.unique(np.concatenate([f for f, _ in rows])) if rows else np.zeros(0, np.uint32)
-    at = [np.searchsorted(every, f) for f, _ in rows]
+    """Sequential FTRL-proximal over (distinct buckets, label) rows, which it empties -> intercept, buckets, weights."""
+    seen = np.zeros(BUCKETS, bool)
+    for f, _ in rows:
+        seen[f] = True
+    every = np.flatnonzero(seen).astype(np.uint32)
+    del seen
+    labels, at = [y for _, y in rows], []
+    for i, (f, _) in enumerate(rows):  # the places take the room of the buckets
+        at.append(np.searchsorted(every, f).astype(np.int32))
+        rows[i] = (None, 0.0)
+    rows = labels
     z, n = np.zeros(len(every)), np.zeros(len(every))
-    good = sum(y for _, y in rows)
+    good = sum(labels)
     prior = (good + 0.5) / (len(rows) + 1.0) if rows else 0.5
     b, bn = float(np.log(prior / (1 - prior))), 0.0
     if rows and 0 < good < len(rows):
         for _ in range(epochs):
-            for i, (_, y) in zip(at, rows, strict=True):
+            for i, y in zip(at, rows, strict=True):
                 zi, ni = z[i], n[i]
                 w = np.where(np.abs(zi) <= L1, 0.0, (np.sign(zi) * L1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
                 p = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + b, -35, 35)))
@@ -105,14 +115,19 @@ def held_out(doc_id: Column) -> Column:
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pd.DataFrame({"o": pdf["o"], "y": pdf["y"], "f": [np.unique(features(t)).astype(np.int32) for t in pdf["text"]]})
+    tidy()
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = []
     for pdf in batches:
-        rows += [(o, np.asarray(f, np.int32).astype(np.uint32), float(y)) for o, y, f in zip(pdf["o"], pdf["y"], pdf["f"], strict=True)]
+        rows += [(o, np.array(f, np.uint32), float(y)) for o, y, f in zip(pdf["o"], pdf["y"], pdf["f"], strict=True)]
     rows.sort(key=lambda r: r[0])
-    b, at, w = fit_ftrl([(f, y) for _, f, y in rows])
+    pairs = [(f, y) for _, f, y in rows]
+    del rows
+    b, at, w = fit_ftrl(pairs)
+    del pairs
+    tidy()
     yield pd.DataFrame({"bucket": np.concatenate([[-1], at.astype(np.int64)]), "weight": np.concatenate([[b], w])})
 
 
@@ -143,6 +158,7 @@ class Model:
             table_[model.buckets] = model.weights
             for texts in batches:
                 yield pd.Series([model._one(t, table_) for t in texts], dtype="float64")
+            tidy()
 
         return toxicity.asNondeterministic()(text)
 
