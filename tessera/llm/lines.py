@@ -6,8 +6,8 @@
    every character in scripts written without spaces). Its signature has ``BANDS * ROWS`` minima of
    seeded hashes, all taken in the stage that already holds the line, without another shuffle.
 3. Lines that agree in one band of ``ROWS`` minima are candidates; with 10 bands of 4 a pair at the
-   similarity 0.8 is met with probability 0.995. In each bucket all lines are compared with a pivot, never all
-   with all; while some line of a bucket is like no pivot so far, the smallest such line is the next pivot.
+   similarity 0.8 is met with probability 0.995. In each bucket all lines are compared with a few pivots, never
+   all with all, until each line was a pivot or is like one.
 4. Candidates are verified by the exact Jaccard index of their shingle sets.
 5. Star rounds (large-star and small-star) join the links into components; of each component the
    first line by (doc_id, position) stays.
@@ -20,7 +20,7 @@ are not read by ``fuzzy_lines`` and pass through ``without_repeated_lines`` unto
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -29,39 +29,52 @@ from tessera.store import Store, release, table
 SHINGLE = 12
 BANDS, ROWS = 10, 4
 SIMILARITY = 0.8
+#: Lines of a bucket that meet all its lines in one round.
+PIVOTS = 32
 
-#: Word starts, and every place behind a character of a script without spaces.
-_STARTS = r"(?:(?<![^ ])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]))"
+#: Word starts of a line with single spaces; and for scripts without spaces, every place behind their characters, too.
+_STARTS = "(?:^| )"
+_ALL_STARTS = r"(?:(?<![^ ])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]))"
+#: Active lines up to this count are sent to the executors by id (they are counted first); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.btrim(F.regexp_replace(line, r"[ \t-\r]+", " ")))
+    plain = F.when(line.rlike(r"[\t-\r]|  "), F.regexp_replace(line, r"[ \t-\r]+", " ")).otherwise(line)
+    return F.lower(F.btrim(plain))
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    return F.regexp_extract_all(line, F.lit(_STARTS + r"(?=(\S.{0,%d}))" % (size - 1)), F.lit(1))
+    """The shingles of a normalised line. Lines of two bytes a character or more count as written without spaces."""
+    found = lambda starts: F.regexp_extract_all(line, F.lit(starts + r"(?=(\S.{0,%d}))" % (size - 1)), F.lit(1))
+    return F.when(F.octet_length(line) >= 2 * F.length(line), found(_ALL_STARTS)).otherwise(found(_STARTS))
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, text) -> a row per line with a word: rid, doc_id, pos, norm."""
-    lines = docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"[^ \t-\r]"))
-    return lines.select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm"))
+def with_word(line: Column) -> Column:
+    return line.rlike(r"[^ \t-\r]")
 
 
 def line_id(norm: Column) -> Column:
     return F.xxhash64(norm, F.lit(11))
 
 
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(norm) -> distinct lines: lid, norm, bands. The grouping by lid serves the minima too."""
+def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """(text) -> distinct lines: lid, norm, bands. The exchange that makes lines distinct serves the minima too.
+
+    Each 64-bit hash gives two minima, of its upper and of its lower half."""
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where(with_word(F.col("line"))).select(normal(F.col("line")).alias("norm"))
     one = lines.select(line_id(F.col("norm")).alias("lid"), "norm").groupBy("lid").agg(F.min("norm").alias("norm"))
-    return one.select("lid", "norm"), one.select("lid", F.explode(shingles(F.col("norm"), size)).alias("s")).select("lid", F.xxhash64("s").alias("h")).groupBy("lid").agg(
-        *[F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
-    ).select("lid", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("bands"))
+    half = -(-bands * rows // 2)
+    hashed = one.select("lid", F.explode(shingles(F.col("norm"), size)).alias("s")).select("lid", F.xxhash64("s").alias("h"))
+    hashed = hashed.select("lid", *[F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(half)])
+    low = F.lit(0xFFFFFFFF)
+    least = hashed.groupBy("lid").agg(*[m for k in range(half) for m in (F.min(F.shiftrightunsigned(f"x{k}", 32)).alias(f"m{2 * k}"), F.min(F.col(f"x{k}").bitwiseAND(low)).alias(f"m{2 * k + 1}"))])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    return one.join(least.select("lid", keys.alias("bands")), "lid")
 
 
 def similar(pairs: DataFrame, lines: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(bucket, a, b) candidates -> the same with ``ok``: whether the exact Jaccard index reaches ``similarity``."""
+    """(a, b) candidates -> each once, with ``ok``: whether the exact Jaccard index reaches ``similarity``."""
     text = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"{c}_norm"))
     both = pairs.select("a", "b").distinct().join(text("a"), "a").join(text("b"), "b")
     sets = both.select("a", "b", F.array_distinct(shingles(F.col("a_norm"), size)).alias("x"), F.array_distinct(shingles(F.col("b_norm"), size)).alias("y"))
@@ -70,54 +83,63 @@ def similar(pairs: DataFrame, lines: DataFrame, similarity: float, size: int) ->
 
 
 def line_links(spark: SparkSession, lines: DataFrame, sig: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between distinct lines that are alike; ``lines``: stored (lid, norm), ``sig``: stored (lid, bands)."""
+    """Links (a, b) between distinct lines that are alike; ``lines``: stored (lid, norm), ``sig``: stored (lid, bands).
+
+    First every line of a bucket meets the bucket's smallest. Where some line is unlike it, up to
+    ``PIVOTS`` such lines meet all lines of the bucket, and so on until each line has been a pivot or is
+    like one: a bucket of n lines gives at most ``PIVOTS * n`` pairs a round, and one or two rounds do."""
     each = sig.select("lid", F.explode("bands").alias("bucket"))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("pivot")).where("n > 1")
     members = store.stage(each.join(shared.select("bucket", "pivot"), "bucket"), "members")
+    ids = store.stage(members.select("lid").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    lines = store.stage(lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi"), "active")
     release(spark)
+    pivots = members.where("lid = pivot").select("bucket", "pivot")
+    rest = members.select("bucket", "lid", F.lit(False).alias("done"))
     links = None
     while True:
-        pairs = members.where("lid <> pivot").select("bucket", F.col("lid").alias("a"), F.col("pivot").alias("b"))
-        judged = store.stage(similar(pairs, lines, similarity, size), "judged")
+        met = rest.join(pivots, "bucket").where("lid <> pivot").select("bucket", "lid", "done", F.least("lid", "pivot").alias("a"), F.greatest("lid", "pivot").alias("b"))
+        judged = store.stage(similar(met, lines, similarity, size), "judged")
         release(spark)
         found = judged.where("ok").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        # a bucket goes on with all its lines but its pivot while one of them is like none of its pivots
-        rest = members.where("lid <> pivot").join(judged, (F.col("lid") == judged["a"]) & (F.col("pivot") == judged["b"]))
-        open_ = F.col("done") | F.col("ok") if "done" in members.columns else F.col("ok")
-        rest = rest.select("bucket", "lid", open_.alias("done"))
-        pivots = rest.groupBy("bucket").agg(F.min(F.when(~F.col("done"), F.col("lid"))).alias("pivot"), F.count("*").alias("n")).where("pivot IS NOT NULL AND n > 1")
-        then = store.stage(rest.join(pivots.select("bucket", "pivot"), "bucket"), "members")
-        store.drop(members)
-        members = then
-        if members.isEmpty():
+        told = met.join(judged, ["a", "b"]).groupBy("bucket", "lid").agg(F.bool_or(F.col("done") | F.col("ok")).alias("done"))
+        left = told.join(pivots, (told["bucket"] == pivots["bucket"]) & (told["lid"] == pivots["pivot"]), "left_anti")
+        left = store.stage(left, "left")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("lid"))
+        pivots = store.stage(left.where("NOT done").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("lid").alias("pivot")), "pivots")
+        if pivots.isEmpty():
             return links
+        rest = left
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, text) -> per row: doc_id, n_lines, n_dropped, dropped (positions), classes (a class id a line)."""
-    lines, sig = signatures(occurrences(docs), size=size)
-    sig = store.stage(lines.join(sig, "lid"), "lines")
+    sig = store.stage(signatures(docs.select("text"), size=size), "lines")
     release(spark)
     links = line_links(spark, sig.select("lid", "norm"), sig.select("lid", "bands"), store, similarity, size)
     roots = store.stage(connected_components(spark, links, store), "roots")
-    seen = store.stage(occurrences(docs).select("rid", "doc_id", "pos", line_id(F.col("norm")).alias("lid")), "seen")
-    release(spark)
+    lines = docs.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    lid = F.when(with_word(F.col("line")), line_id(normal(F.col("line"))))
+    seen = store.stage(lines.select("rid", "doc_id", "pos", lid.alias("lid")).where("lid IS NOT NULL OR coalesce(pos, 0) = 0"), "seen")
     named = seen.join(roots, seen["lid"] == roots["node"], "left").select("rid", "doc_id", "pos", F.coalesce("root", "lid").alias("class"))
     named = store.stage(named, "named")
-    first = named.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "rid", "pos")).alias("first")).where("n > 1")
+    release(spark)
+    key = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "rid", "pos")
+    first = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
     gone = named.join(first, "class").where("rid <> first.rid OR pos <> first.pos").select("rid", "pos")
-    rows = named.select("rid", "pos", "class", F.lit(False).alias("gone")).unionByName(gone.select("rid", "pos", F.lit(None).cast("long").alias("class"), F.lit(True).alias("gone")))
+    none = F.lit(None)
+    rows = named.select("rid", "doc_id", "pos", "class", F.lit(False).alias("gone")).unionByName(
+        gone.select("rid", none.cast(dict(named.dtypes)["doc_id"]).alias("doc_id"), "pos", none.cast("long").alias("class"), F.lit(True).alias("gone"))
+    )
+    line = ~F.col("gone") & F.col("class").isNotNull()
     per = rows.groupBy("rid").agg(
-        F.count(F.when(~F.col("gone"), 1)).alias("n_lines"), F.count(F.when(F.col("gone"), 1)).alias("n_dropped"),
+        F.max("doc_id").alias("doc_id"), F.count_if(line).alias("n_lines"), F.count_if("gone").alias("n_dropped"),
         F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("dropped"),
-        F.transform(F.array_sort(F.collect_list(F.when(~F.col("gone"), F.struct("pos", "class")))), lambda x: x["class"]).alias("classes"),
-    )
-    none = F.array().cast("array<int>")
-    return docs.select("rid", "doc_id").join(per, "rid", "left").select(
-        "rid", "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"),
-        F.coalesce("dropped", none).alias("dropped"), F.coalesce("classes", F.array().cast("array<bigint>")).alias("classes"),
+        F.array_sort(F.collect_list(F.when(line, F.struct("pos", "class")))).alias("of"),
     )
+    return per.select("rid", "doc_id", "n_lines", "n_dropped", "dropped", F.transform("of", lambda x: x["class"]).alias("classes"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,5 +155,5 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, similarity: flo
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, "lines")
-    docs = store.stage(table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "docs")
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return fuzzy_lines(spark, docs, store).drop("rid")
