@@ -187,7 +187,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
     model = fit(spark, docs, labels)
     kept = docs.withColumn("__tessera_score", model.score(spark, F.col("text"))).where(F.col("__tessera_score") < threshold)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, mixing, simhash, tokens
+from tessera.llm import decontaminate, mixing, simhash, tokens, toxicity
 from tests.llm.test_ops import components, empty, odd  # noqa: F401
 
 
@@ -38,6 +38,14 @@ def test_toxicity_keeps_clean(spark, stages, sf):
     assert gone.where("toxic = 1").count() > 0 and gone.where("toxic = 0").count() <= 0.02 * clean
 
 
+def test_toxicity_stage_takes_what_the_operator_rejects(spark, stages, sf):
+    rejected = toxicity.op1_toxicity(spark, sf).where("predicted = 1").select("doc_id")
+    gone = stages["input"].join(stages["toxicity"], "doc_id", "left_anti").select("doc_id")
+    assert {r.doc_id for r in gone.collect()} == {r.doc_id for r in rejected.collect()}
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1")
+    assert 3 * toxic.join(gone, "doc_id").count() >= 2 * toxic.count()  # what the operator itself reaches on so small a table
+
+
 def test_near_dedup_brute_force(stages):
     rows = stages["toxicity"].select("doc_id", "text").collect()
     s = [simhash.shingle_set(r.text) for r in rows]
