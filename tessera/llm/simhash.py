@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.store import Store, ship, table, tidy
+from tessera.store import Store, release, ship, table, tidy
 
 SEED = 42
 SHINGLE = 3
@@ -254,76 +254,133 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.join(group_fingerprints(spark, prints, store), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Near copies by word shingles: seeds of the views, shingle length and Jaccard similarity.
-VIEWS = (42, 43, 44, 45, 46, 47)
+#: Near copies by word shingles: shingle length and Jaccard similarity.
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: MinHash bands and minima a band: a pair at the similarity 0.8 is met with probability 0.9998, at any length.
+BANDS, ROWS = 16, 4
+SALTS = np.random.Generator(np.random.PCG64(20240301)).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
+#: A bucket of more texts, or of more shingles, than this is compared in chunks, one task for each pair of chunks.
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 1 << 21
 #: Ids up to this count are sent to the executors (they are counted first); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def word_prints(text: str | None, seeds: tuple[int, ...] = VIEWS) -> list[int]:
-    """Fingerprints of a text's distinct words, one for each seed."""
+def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def shingle_hashes(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, sorted."""
     import xxhash
 
-    words = sorted(set(text.encode("utf-8", "surrogatepass").lower().split())) if text else []
-    if not words:
-        return [0] * len(seeds)
-    out = []
-    for seed in seeds:
-        h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        over = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
-        out.append(int(np.packbits(over, bitorder="little").view("<u8")[0]))
-    return out
+    own = shingle_set(text, size)
+    return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)))
 
 
-def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima."""
+    import xxhash
+
+    least = np.full(len(SALTS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):  # bounds the matrix of a long text
+        x = (hashes[at : at + 4096, None] ^ SALTS[None, :]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        np.minimum(least, x.min(axis=0), out=least)
+    return np.array([xxhash.xxh64_intdigest(m.tobytes(), b) for b, m in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def link_alike(ids: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, chunk: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect exactly what pairs at ``similarity`` or more connect, beside what ``roots`` connects already.
+
+    A pair is left out only where both texts are of one component; with ``chunk``, pairs in one chunk are, too."""
+    size = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(size) - size
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, out = np.zeros(len(known), bool), np.unique(roots, return_inverse=True)[1], []
+    for i in range(len(ids) - 1):
+        todo = label != label[i]
+        todo[: i + 1] = False
+        if chunk is not None:
+            todo &= chunk != chunk[i]
+        if not todo.any():
+            continue
+        own = flat[starts[i] : starts[i] + size[i]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[own] = False
+        met = np.flatnonzero(todo & (shared >= similarity * (size[i] + size - shared)))
+        groups, one = np.unique(label[met], return_index=True)
+        out += [(int(ids[i]), int(ids[j])) for j in met[one]]
+        label[np.isin(label, groups)] = label[i]
+    return out
 
 
-def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``rows``: stored (tid, text, u), tid a hash of the text and u a row's own name. Returns links
-    (a, b) of tids whose texts share ``similarity`` of their word shingles.
+    (a, b) of tids that connect what pairs of texts sharing ``similarity`` of their word shingles connect.
 
-    Candidates come from one vantage-point tree for each view (a fingerprint of the distinct words
-    under another seed): edits of a few words leave most views within the radius. Every candidate is
-    verified by the exact Jaccard index of the word shingles."""
+    Texts with equal shingle sets collapse to one. Texts that agree in a band of MinHash minima meet in
+    its bucket, and every pair of a bucket is held against the exact Jaccard index of the shingles'
+    64-bit hashes unless the two are of one component by then. A bucket cut into chunks compares each
+    chunk by itself, then the first with all others, then those pairs of chunks that are not yet of one
+    component."""
     ship(spark)
 
+    @F.pandas_udf("hi long, lo long, size long, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for texts in batches:
+            own = [shingle_hashes(t, shingle) for t in texts]
+            key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in own), ">i8").reshape(-1, 2).astype(np.int64)
+            yield pd.DataFrame({"hi": key[:, 0], "lo": key[:, 1], "size": [len(h) for h in own], "bands": [band_keys(h).astype(np.int64) for h in own]})
+        tidy()
+
     @F.pandas_udf("array<long>")
-    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.array(word_prints(t), np.uint64).astype(np.int64) for t in texts])
+            yield pd.Series([shingle_hashes(t, shingle).astype(np.int64) for t in texts])
         tidy()
 
     named = rows.groupBy("tid").agg(F.min("u").alias("u"))
-    some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", prints.asNondeterministic()("text").alias("fps")), "views")
-    pairs = None
-    for v in range(len(VIEWS)):
-        own = store.stage(some.select("tid", F.col("fps")[v].alias("fp")).groupBy("fp").agg(F.min("tid").alias("rep")), "view")
-        links = near_links(spark, own.select("fp"), store, radius, true_pairs=True)
-        left, right = own.select(F.col("fp").alias("a"), F.col("rep").alias("x")), own.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-        found = links.distinct().join(left, "a").join(right, "b").select("x", "y")
-        same = some.select("tid", F.col("fps")[v].alias("fp")).join(own, "fp").where("tid <> rep").select(F.col("tid").alias("x"), F.col("rep").alias("y"))
-        found = store.stage(found.unionByName(same), "candidates")
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = store.stage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    need = store.stage(pairs.select(F.col("x").alias("tid")).unionByName(pairs.select(F.col("y").alias("tid"))).distinct().join(some.select("tid", "u"), "tid"), "need")
+    some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", sketch.asNondeterministic()("text").alias("s")).select("tid", "u", "s.*"), "sketches")
+    first = some.groupBy("hi", "lo").agg(F.min("tid").alias("rep"), F.count("*").alias("n"))
+    same = store.stage(some.select("tid", "hi", "lo").join(first.where("n > 1"), ["hi", "lo"]).where("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")), "same")
+    each = some.join(same.select(F.col("a").alias("tid")), "tid", "left_anti").select("tid", "size", F.explode("bands").alias("bucket"))
+    of = lambda k: F.bit_xor(F.xxhash64("tid", F.lit(k)))
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), of(1).alias("x"), of(2).alias("y")).where("n > 1")
+    shared = shared.groupBy("n", "size", "x", "y").agg(F.min("bucket").alias("bucket"))  # buckets of the same texts once
+    parts = F.greatest(F.ceil(F.col("n") / chunk_rows), F.ceil(F.col("size") / CHUNK_SHINGLES)).cast("int")
+    members = each.select("tid", "bucket").join(shared.select("bucket", parts.alias("parts")), "bucket")
+    members = store.stage(members.withColumn("k", F.pmod(F.xxhash64("tid", F.lit(3)), F.col("parts")).cast("int")), "members")
+    need = store.stage(members.select("tid").distinct().join(some.select("tid", "u"), "tid"), "need")
     few = need.count() <= BROADCAST_IDS
-    texts = store.stage(rows.select("u", "text").join(F.broadcast(need) if few else need, "u").select("tid", "text"), "texts")
-    both = pairs.join(texts.select(F.col("tid").alias("x"), F.col("text").alias("s")), "x").join(texts.select(F.col("tid").alias("y"), F.col("text").alias("t")), "y")
-
-    @F.pandas_udf("boolean")
-    def alike(s: pd.Series, t: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(s, t, strict=True):
-            a, b = shingle_set(a, shingle), shingle_set(b, shingle)
-            shared = len(a & b)
-            out.append(shared >= similarity * (len(a) + len(b) - shared))
-        return pd.Series(out)
-
-    return both.select(F.col("x").alias("a"), F.col("y").alias("b"), alike.asNondeterministic()("s", "t").alias("ok")).where("ok").select("a", "b")
+    sets = store.stage(rows.select("u", "text").join(F.broadcast(need) if few else need, "u").select("tid", hashes.asNondeterministic()("text").alias("h")), "sets")
+    release(spark)
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.asarray(h, np.int64) for h in pdf["h"]]
+        chunk = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf["k"].to_numpy()
+        return pd.DataFrame(link_alike(pdf["tid"].to_numpy(), own, pdf["root"].to_numpy(), chunk, similarity), columns=["a", "b"]).astype(np.int64)
+
+    def meet(tasks: DataFrame) -> DataFrame:
+        return store.stage(tasks.join(sets, "tid").groupBy("bucket", "i", "j").applyInPandas(link, "a long, b long"), "links")
+
+    links = same.unionByName(meet(members.select("bucket", F.col("k").alias("i"), F.col("k").alias("j"), "k", "tid", F.col("tid").alias("root"))))
+    large = members.where("parts > 1")
+    if large.isEmpty():
+        return links
+    others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(F.col("k"), o).alias("i"), F.greatest(F.col("k"), o).alias("j")))
+    for which in ("i = 0 AND j > 0", "i > 0 AND j > i"):
+        roots = store.stage(connected_components(spark, links, store), "roots")
+        now = large.join(roots, large["tid"] == roots["node"], "left").select("bucket", "k", "tid", F.coalesce("root", "tid").alias("root"), F.explode(others).alias("c"))
+        now = now.select("bucket", "c.i", "c.j", "k", "tid", "root").where(which)
+        apart = now.groupBy("bucket", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "i", "j")
+        links = links.unionByName(meet(now.join(apart, ["bucket", "i", "j"])))
+    return links
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:

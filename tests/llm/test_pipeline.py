@@ -90,3 +90,37 @@ def test_odd_and_empty(spark, odd, empty, tmp_path):  # noqa: F811
     got = through(spark, odd, tmp_path / "odd")
     assert got["simhash_near_dedup"].count() <= 14
     assert through(spark, empty, tmp_path / "empty")["token_output"].count() == 0
+
+
+def words(rng, n, name):
+    return [f"{name}{x}" for x in rng.integers(1 << 40, size=n)]
+
+
+@pytest.mark.parametrize("chunk_rows", [60, 512])
+def test_near_copies_star(spark, chunk_rows):
+    """Copies of one base that are not alike among themselves, and one set of words in many orders: one group each."""
+    from tessera.store import Store
+
+    rng = np.random.default_rng(3)
+    base = words(rng, 1000, "b")
+    texts = [" ".join(base)]
+    for _ in range(300):
+        copy = list(base)
+        for at in np.arange(15) * 66 + rng.integers(0, 60):
+            copy[at] = words(rng, 1, "c")[0]
+        texts.append(" ".join(copy))
+    sets = [simhash.shingle_set(t) for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(alike(sets[0], x) for x in sets[1:]) and not any(alike(sets[1], x) for x in sets[2:12])
+    blocks = [words(rng, 100, "o") for _ in range(8)]
+    orders = [[blocks[i] for i in rng.permutation(8)] for _ in range(30)]
+    texts += [" ".join(w for b in o for w in b) for o in orders]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = Store(spark, "test").stage(df.select(F.xxhash64("text").alias("tid"), "text", F.col("doc_id").cast("string").alias("u")), "rows")
+    links = simhash.near_copies(spark, rows, Store(spark, "test"), chunk_rows=chunk_rows).collect()
+    at = {r.tid: int(r.u) for r in rows.collect()}
+    sets = [simhash.shingle_set(t) for t in texts]
+    pairs = [(i, 0) for i in range(1, 301)] + [(i, j) for i in range(301, 331) for j in range(301, i) if alike(sets[i], sets[j])]
+    want = components(len(texts), pairs)
+    assert components(len(texts), [(at[r.a], at[r.b]) for r in links]) == want
+    assert len(set(want[:301])) == 1
