@@ -124,3 +124,20 @@ def test_near_copies_star(spark, chunk_rows):
     want = components(len(texts), pairs)
     assert components(len(texts), [(at[r.a], at[r.b]) for r in links]) == want
     assert len(set(want[:301])) == 1
+
+
+@pytest.mark.parametrize("n", [100, 500, 1000, 5000])
+def test_near_copies_meet_at_any_length(n):
+    """Nearly all pairs just at the similarity share a band."""
+    rng = np.random.default_rng(n)
+    pairs, met = 0, 0
+    while pairs < 150:
+        a = words(rng, n, "a")
+        b = list(a)
+        for at in rng.choice(n, max(1, round(n * 0.0212)), replace=False):
+            b[at] = words(rng, 1, "b")[0]
+        x, y = simhash.shingle_hashes(" ".join(a)), simhash.shingle_hashes(" ".join(b))
+        both = len(np.intersect1d(x, y))
+        if 0.8 <= both / (len(x) + len(y) - both) <= 0.84:
+            pairs, met = pairs + 1, met + (simhash.band_keys(x) == simhash.band_keys(y)).any()
+    assert met >= 0.99 * pairs
