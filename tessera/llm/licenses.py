@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of lines that name a licence or share three-word runs with a template. Each
-block is compressed by itself and with every template as a zstandard raw dictionary; the share by
-which the template shortens it ranks the templates. The best are confirmed by the exact wording
-differences between template and block: nearly all template words must stand in the block in order,
-and words that tell licences apart (numbers, versions, terms) must be equal.
+block, and each window of it about as long as a template it shares words with, is compressed by itself
+and with the template as a zstandard raw dictionary. Every template that shortens the block or a window
+enough is confirmed by the exact wording differences: nearly all template words must stand there in
+order, and words that tell licences apart (numbers, versions, terms) must be equal.
 
 One pass over whole texts without a shuffle; templates are a small fixed table or a parameter.
 
@@ -59,8 +59,6 @@ HINT = re.compile(r"licen[sc]|copyright|public domain|hereby granted|redistribut
 #: Words whose change makes another licence.
 TELLING = re.compile(r"\d|^(mit|apache|gnu|lesser|affero|bsd|mpl|mozilla|cc|cc0|by(-\w+)*|nc|nd|sa|isc|attribution(-\w+)*|not|neither|without)$")
 MIN_REDUCTION, MIN_WORDS = 0.15, 0.9
-#: So many of the best-ranked templates, and all tied with the last, are confirmed word by word.
-CONFIRM = 4
 MATCHES = "array<struct<license:string,start:int,end:int,reduction:double,words_changed:int,exact:boolean>>"
 _WORD = re.compile(r"\w+(?:[-./]\w+)*")
 
@@ -99,6 +97,21 @@ class Scanner:
             at = end + 1
         return [(a, b) for a, b in spans]
 
+    def windows(self, template: list[str], block: list[str]) -> list[tuple[int, int]]:
+        """Word spans of about the template's size around the pairs of words that the block shares with it."""
+        n, at = len(template), {}
+        for i, g in enumerate(zip(template, template[1:], strict=False)):
+            at.setdefault(g, []).append(i)
+        slack = max(2, n // 8)
+        starts = sorted({j - i for j, g in enumerate(zip(block, block[1:], strict=False)) for i in at.get(g, ())})
+        out: list[tuple[int, int]] = []
+        last = None
+        for x in starts:
+            if last is None or x - last > slack // 2:
+                out.append((max(0, x - slack), min(len(block), x + n + slack)))
+                last = x
+        return out
+
     def differences(self, template: list[str], block: list[str]) -> int | None:
         """Words to change in the block's matching stretch to get the template; None if it isn't that template."""
         ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
@@ -123,16 +136,24 @@ class Scanner:
             block = text[a:b]
             data = block.encode("utf-8", "surrogatepass")
             alone = len(self.plain.compress(data))
-            ranked = sorted(((1 - len(c.compress(data)) / alone, name, w) for c, (name, _, w) in zip(self.given, self.templates, strict=True)), key=lambda x: (-x[0], x[1]))
-            floor = max(MIN_REDUCTION, ranked[min(CONFIRM, len(ranked)) - 1][0])
-            own = words(block)
+            own = [(m.group().lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
+            plain = [w for w, _, _ in own]
+            found = []
+            for c, (name, _, w) in zip(self.given, self.templates, strict=True):
+                reduction = 1 - len(c.compress(data)) / alone
+                n = self.differences(w, plain) if reduction >= MIN_REDUCTION else None
+                if n is not None:
+                    found.append((-reduction, name, n))
+                for i, j in self.windows(w, plain) if n != 0 else ():
+                    part = block[own[i][1] : own[j - 1][2]].encode("utf-8", "surrogatepass")
+                    reduction = 1 - len(c.compress(part)) / len(self.plain.compress(part))
+                    if reduction >= MIN_REDUCTION and (n := self.differences(w, plain[i:j])) is not None:
+                        found.append((-reduction, name, n))
             best: dict[str, dict] = {}
-            for reduction, name, w in ranked:
-                if reduction < floor:
-                    break
-                if (n := self.differences(w, own)) is not None and name not in best:
-                    best[name] = {"license": name, "start": a, "end": b, "reduction": round(reduction, 6), "words_changed": n, "exact": n == 0}
-            out += best.values()
+            for reduction, name, n in sorted(found, key=lambda x: (x[2] > 0, *x)):  # a verbatim grant counts before a changed one
+                if name not in best:
+                    best[name] = {"license": name, "start": a, "end": b, "reduction": round(-reduction, 6), "words_changed": n, "exact": n == 0}
+            out += sorted(best.values(), key=lambda m: (-m["reduction"], m["license"]))
         return out
 
 

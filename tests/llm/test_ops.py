@@ -487,6 +487,15 @@ def test_every_template_finds_itself():
         assert name in {m["license"] for m in scanner.scan("Before it.\n" + text + "\nAfter it.")}, text
 
 
+@pytest.mark.parametrize("n", [200, 300, 600])
+def test_licence_inside_a_paragraph(n):
+    rng = random.Random(n)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n // 6))
+    for name, text in licenses.TEMPLATES:
+        found = {m["license"]: m["exact"] for m in licenses.Scanner().scan(f"{prose()} {text} {prose()}")}
+        assert found.get(name), (name, found)
+
+
 def test_licences_in_documents(spark, sf, docs):
     want = {d for d, t in docs if re.search(r"(?m)^(Released under the MIT License|Licensed under|This work is licensed under).*\.$", t)}
     got = {r.doc_id for r in licenses.op10_license_scan(spark, sf).where("n_matches > 0").collect()}
