@@ -496,6 +496,15 @@ def test_licence_inside_a_paragraph(n):
         assert found.get(name), (name, found)
 
 
+def test_licences_of_consecutive_notices():
+    """Every one of several verbatim notices in one block, and no sibling of them."""
+    want = {"GPL-2.0", "Unlicense", "MIT", "Apache-2.0", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0"}
+    short = {}
+    for name, text in licenses.TEMPLATES:
+        short.setdefault(name, text)
+    assert {m["license"] for m in licenses.Scanner().scan("\n".join(short[w] for w in sorted(want))) if m["exact"]} == want
+
+
 def test_licences_in_documents(spark, sf, docs):
     want = {d for d, t in docs if re.search(r"(?m)^(Released under the MIT License|Licensed under|This work is licensed under).*\.$", t)}
     got = {r.doc_id for r in licenses.op10_license_scan(spark, sf).where("n_matches > 0").collect()}
