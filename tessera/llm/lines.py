@@ -2,16 +2,22 @@
 
 1. Lines with a word are normalised (lower case, single spaces) and equal lines collapse, combined
    before the shuffle, so a line that a third of the documents carry is one row.
-2. A line's set holds its character shingles: the ``SHINGLE`` characters from every word start (from
-   every character in scripts written without spaces). Its signature has ``BANDS * ROWS`` minima of
-   seeded hashes, all taken in the stage that already holds the line, without another shuffle.
-3. Lines that agree in one band of ``ROWS`` minima are candidates; with 10 bands of 4 a pair at the
-   similarity 0.8 is met with probability 0.995. In each bucket all lines are compared with a few pivots, never
-   all with all, until each line was a pivot or is like one.
-4. Candidates are verified by the exact Jaccard index of their shingle sets.
-5. Star rounds (large-star and small-star) join the links into components; of each component the
+2. A line's set holds the ``SHINGLE`` characters from every place in it. Each shingle is hashed once;
+   a minimum is that of the hashes xor a constant, so all ``MINIMA`` come from one pass over the
+   shingles in the stage that holds the line. Lines of ``THIN`` shingles or more take their minima over
+   the quarter of their shingles whose hash ends in 00; those under ``THIN / SIMILARITY`` over both sets,
+   so any two lines that may be alike have a kind in common.
+3. Lines that agree in a band of ``ROWS`` minima share a bucket. ``BANDS`` bands reuse the minima.
+4. A bucket's lines meet its smallest line. Lines that are not of its component by then meet, chunk by
+   chunk, all lines of other components in the bucket, so no pair across components is left unchecked.
+   A pair counts once over all bands, and goes on only if ``AGREE`` of its minima agree.
+5. What is left is verified by the exact Jaccard index of the shingle sets.
+6. Star rounds (large-star and small-star) join the links into components; of each component the
    first line by (doc_id, position) stays.
 
+Lines and shingles are known by 64-bit hashes. Only pairs are probabilistic: ``recall`` in the tests
+holds them against all pairs.
+
 Defined results: null and empty texts have no lines; lines without a word are left alone; a line
 shorter than a shingle is its own only shingle; rows that share an id are separate documents, ordered
 by a row number within ties; null ids come last; an empty table gives an empty result. Other columns
@@ -20,23 +26,47 @@ are not read by ``fuzzy_lines`` and pass through ``without_repeated_lines`` unto
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
-from tessera.store import Store, release, table
+from tessera.store import Store, table
 
-SHINGLE = 12
-BANDS, ROWS = 10, 4
+SHINGLE = 5
 SIMILARITY = 0.8
-#: Lines of a bucket that meet all its lines in one round.
-PIVOTS = 32
-
-#: Word starts of a line with single spaces; and for scripts without spaces, every place behind their characters, too.
-_STARTS = "(?:^| )"
-_ALL_STARTS = r"(?:(?<![^ ])|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]))"
-#: Active lines up to this count are sent to the executors by id (they are counted first); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: A pair at the similarity 0.8 is met with probability 0.95, at 0.85 with 0.99, at 0.9 with 0.999.
+MINIMA, BANDS, ROWS = 32, 14, 6
+#: Of the minima of a pair at the similarity 0.8, at least so many agree in all but 1 of 10,000 cases.
+AGREE = 16
+#: Lines with so many shingles take their minima from a quarter of them.
+THIN = 256
+#: A bucket of more lines than this is compared in chunks.
+CHUNK = 1_000
+#: Rows up to this count are sent to the executors (they are counted first, 16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+_rng = np.random.Generator(np.random.PCG64(20240401))
+#: Constants whose upper bits are spread evenly over the hash space.
+MASKS = [int(x) for x in ((np.arange(MINIMA, dtype=np.uint64) << np.uint64(59)) ^ _rng.integers(0, 1 << 59, MINIMA, dtype=np.uint64)).astype(np.int64)]
+
+
+WORDS = [f"w{i}" for i in range(MINIMA // 8)]
+
+
+def bands(minima: int = MINIMA, count: int = BANDS, rows: int = ROWS) -> list[list[int]]:
+    """Which minima form each band: every minimum serves about as often."""
+    rng, out, pool = np.random.Generator(np.random.PCG64(7)), [], []
+    while len(out) < count:
+        if len(pool) < rows:
+            pool += [int(x) for x in rng.permutation(minima)]
+        band = list(dict.fromkeys(pool))[:rows]
+        for x in band:
+            pool.remove(x)
+        out.append(sorted(band))
+    return out
 
 
 def normal(line: Column) -> Column:
@@ -44,12 +74,6 @@ def normal(line: Column) -> Column:
     return F.lower(F.btrim(plain))
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The shingles of a normalised line. Lines of two bytes a character or more count as written without spaces."""
-    found = lambda starts: F.regexp_extract_all(line, F.lit(starts + r"(?=(\S.{0,%d}))" % (size - 1)), F.lit(1))
-    return F.when(F.octet_length(line) >= 2 * F.length(line), found(_ALL_STARTS)).otherwise(found(_STARTS))
-
-
 def with_word(line: Column) -> Column:
     return line.rlike(r"[^ \t-\r]")
 
@@ -58,74 +82,112 @@ def line_id(norm: Column) -> Column:
     return F.xxhash64(norm, F.lit(11))
 
 
-def signatures(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(text) -> distinct lines: lid, norm, bands. The exchange that makes lines distinct serves the minima too.
+def places(norm: Column, size: int = SHINGLE) -> Column:
+    """Where the shingles of a line begin."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(norm) - size))
+
+
+def shingle(wide: Column, at: Column, size: int = SHINGLE) -> Column:
+    """The hash of the shingle at a place of a line in UTF-32, where any place is found at once."""
+    return F.xxhash64(F.substring(wide, at * 4 + 1, F.lit(4 * size)))
+
+
+def shingle_set(norm: Column, size: int = SHINGLE) -> Column:
+    wide = F.encode(norm, "UTF-32")
+    return F.array_distinct(F.transform(places(norm, size), lambda at: shingle(wide, at, size)))
 
-    Each 64-bit hash gives two minima, of its upper and of its lower half."""
+
+def signatures(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(text) -> a row for each distinct line and kind of minima: lid, norm, thin, bands, w0.. (8 bits of each
+    minimum) and main, true once a line.
+
+    The exchange that makes lines distinct serves the minima too."""
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where(with_word(F.col("line"))).select(normal(F.col("line")).alias("norm"))
     one = lines.select(line_id(F.col("norm")).alias("lid"), "norm").groupBy("lid").agg(F.min("norm").alias("norm"))
-    half = -(-bands * rows // 2)
-    hashed = one.select("lid", F.explode(shingles(F.col("norm"), size)).alias("s")).select("lid", F.xxhash64("s").alias("h"))
-    hashed = hashed.select("lid", *[F.xxhash64("h", F.lit(k)).alias(f"x{k}") for k in range(half)])
-    low = F.lit(0xFFFFFFFF)
-    least = hashed.groupBy("lid").agg(*[m for k in range(half) for m in (F.min(F.shiftrightunsigned(f"x{k}", 32)).alias(f"m{2 * k}"), F.min(F.col(f"x{k}").bitwiseAND(low)).alias(f"m{2 * k + 1}"))])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
-    return one.join(least.select("lid", keys.alias("bands")), "lid")
+    n, most = F.greatest(F.lit(1), F.length("norm") - size + 1), int(THIN / SIMILARITY)
+    kinds = F.when(n < THIN, F.array(F.lit(False))).when(n <= most, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    each = one.select("lid", "norm", F.explode(kinds).alias("thin")).select("lid", "thin", F.encode("norm", "UTF-32").alias("wide"), places(F.col("norm"), size).alias("at"))
+    each = each.select("lid", "thin", "wide", F.explode("at").alias("at")).select("lid", "thin", shingle(F.col("wide"), F.col("at"), size).alias("h"))
+    each = each.where(~F.col("thin") | (F.col("h").bitwiseAND(F.lit(3)) == 0))
+    least = each.groupBy("lid", "thin").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(MASKS)])
+    keys = F.array(*[F.xxhash64(F.lit(b), "thin", *[f"m{k}" for k in own]) for b, own in enumerate(bands())])
+    byte = lambda k: F.shiftleft(F.col(f"m{k}").bitwiseAND(F.lit(255)), 8 * (k % 8))
+    words = [reduce(lambda x, y: x.bitwiseOR(y), [byte(k) for k in range(w, w + 8)]).alias(f"w{w // 8}") for w in range(0, MINIMA, 8)]
+    # a line that repeats a few shingles may have none whose hash ends in 00: all such lines share a bucket
+    none = [F.coalesce("thin", F.lit(True)).alias("thin"), F.coalesce("bands", F.array(F.lit(0).cast("long"))).alias("bands"), *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in WORDS]]
+    own = one.join(least.select("lid", "thin", keys.alias("bands"), *words), "lid", "left").select("lid", "norm", *none)
+    return own.withColumn("main", ~F.col("thin") | (F.length("norm") - size + 1 > most))
+
+
+def agreeing(x: str, y: str) -> Column:
+    """How many of two lines' minima agree: the zero bytes of their sketches' xor."""
+
+    def zero(w: str) -> Column:
+        v = F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))
+        for s in (4, 2, 1):
+            v = v.bitwiseOR(F.shiftrightunsigned(v, s))
+        return F.lit(8) - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return reduce(lambda a, b: a + b, [zero(w) for w in WORDS])
 
 
 def similar(pairs: DataFrame, lines: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(a, b) candidates -> each once, with ``ok``: whether the exact Jaccard index reaches ``similarity``."""
+    """The (a, b) whose exact Jaccard index reaches ``similarity``."""
     text = lambda c: lines.select(F.col("lid").alias(c), F.col("norm").alias(f"{c}_norm"))
-    both = pairs.select("a", "b").distinct().join(text("a"), "a").join(text("b"), "b")
-    sets = both.select("a", "b", F.array_distinct(shingles(F.col("a_norm"), size)).alias("x"), F.array_distinct(shingles(F.col("b_norm"), size)).alias("y"))
-    sets = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return sets.select("a", "b", (F.col("both") >= similarity * (F.col("sum") - F.col("both"))).alias("ok"))
+    both = pairs.join(text("a"), "a").join(text("b"), "b")
+    sets = both.select("a", "b", shingle_set(F.col("a_norm"), size).alias("x"), shingle_set(F.col("b_norm"), size).alias("y"))
+    met = sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return met.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def line_links(spark: SparkSession, lines: DataFrame, sig: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
-    """Links (a, b) between distinct lines that are alike; ``lines``: stored (lid, norm), ``sig``: stored (lid, bands).
+def small(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if the stored table that it comes from is small enough."""
+    return F.broadcast(df) if stored.count() <= BROADCAST_ROWS else df
 
-    First every line of a bucket meets the bucket's smallest. Where some line is unlike it, up to
-    ``PIVOTS`` such lines meet all lines of the bucket, and so on until each line has been a pivot or is
-    like one: a bucket of n lines gives at most ``PIVOTS * n`` pairs a round, and one or two rounds do."""
-    each = sig.select("lid", F.explode("bands").alias("bucket"))
+
+def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) that connect exactly what alike lines of shared buckets connect; ``lines``: stored ``signatures``."""
+    sketch = F.struct(*WORDS).alias("s")
+    each = lines.select(F.explode("bands").alias("bucket"), "lid", "thin", sketch)
     shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("pivot")).where("n > 1")
-    members = store.stage(each.join(shared.select("bucket", "pivot"), "bucket"), "members")
-    ids = store.stage(members.select("lid").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    lines = store.stage(lines.join(F.broadcast(ids) if few else ids, "lid", "left_semi"), "active")
-    release(spark)
-    pivots = members.where("lid = pivot").select("bucket", "pivot")
-    rest = members.select("bucket", "lid", F.lit(False).alias("done"))
-    links = None
-    while True:
-        met = rest.join(pivots, "bucket").where("lid <> pivot").select("bucket", "lid", "done", F.least("lid", "pivot").alias("a"), F.greatest("lid", "pivot").alias("b"))
-        judged = store.stage(similar(met, lines, similarity, size), "judged")
-        release(spark)
-        found = judged.where("ok").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        told = met.join(judged, ["a", "b"]).groupBy("bucket", "lid").agg(F.bool_or(F.col("done") | F.col("ok")).alias("done"))
-        left = told.join(pivots, (told["bucket"] == pivots["bucket"]) & (told["lid"] == pivots["pivot"]), "left_anti")
-        left = store.stage(left, "left")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("lid"))
-        pivots = store.stage(left.where("NOT done").withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("bucket", F.col("lid").alias("pivot")), "pivots")
-        if pivots.isEmpty():
-            return links
-        rest = left
+    shared = store.stage(shared, "buckets")
+    members = store.stage(each.join(small(shared, shared), "bucket"), "members")
+    pairs = members.where("lid <> pivot").select("thin", "pivot", "lid", "s").distinct()
+    pivots = store.stage(members.where("lid = pivot").select("thin", "pivot", F.col("s").alias("t")).distinct(), "pivots")
+    met = pairs.join(small(pivots, pivots), ["thin", "pivot"]).where(agreeing("s", "t") >= AGREE).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))
+    met = store.stage(met.distinct(), "met")
+    links = store.stage(similar(met, lines_of(lines, met, store), similarity, size), "links")
+    roots = store.stage(connected_components(spark, links, store), "roots")
+    # a bucket's lines that are not of its smallest line's component meet all lines of other components there
+    root = lambda c: small(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), roots)
+    now = members.join(root("lid"), "lid", "left").join(root("pivot"), "pivot", "left")
+    now = now.select("bucket", "thin", "n", "pivot", "lid", "s", F.coalesce("lid_root", "lid").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
+    now = store.stage(now.withColumn("apart", F.col("root") != F.col("pivot_root")), "now")
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    left = now.where("apart AND n > 2").select("bucket", "lid", "root", "s", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("k"))
+    right = now.where("n > 2").select("bucket", F.col("lid").alias("other"), F.col("root").alias("other_root"), F.col("s").alias("t"), "apart", F.pmod(F.xxhash64("lid", F.lit(5)), chunks).cast("int").alias("k"), (F.col("lid") == F.col("pivot")).alias("first"))
+    across = left.join(right, ["bucket", "k"]).where((F.col("root") != F.col("other_root")) & ~F.col("first") & (~F.col("apart") | (F.col("lid") < F.col("other"))) & (agreeing("s", "t") >= AGREE))
+    more = store.stage(across.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct(), "across")
+    if more.isEmpty():
+        return links
+    return links.unionByName(store.stage(similar(more, lines_of(lines, more, store), similarity, size), "links"))
+
+
+def lines_of(lines: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:
+    """The lines that stand in stored (a, b) ``pairs``."""
+    ids = store.stage(pairs.select(F.col("a").alias("lid")).unionByName(pairs.select(F.col("b").alias("lid"))).distinct(), "ids")
+    return store.stage(lines.where("main").select("lid", "norm").join(small(ids, ids), "lid", "left_semi"), "active")
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """(rid, doc_id, text) -> per row: doc_id, n_lines, n_dropped, dropped (positions), classes (a class id a line)."""
-    sig = store.stage(signatures(docs.select("text"), size=size), "lines")
-    release(spark)
-    links = line_links(spark, sig.select("lid", "norm"), sig.select("lid", "bands"), store, similarity, size)
+    links = line_links(spark, store.stage(signatures(docs.select("text"), size), "lines", "zstd"), store, similarity, size)
     roots = store.stage(connected_components(spark, links, store), "roots")
     lines = docs.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     lid = F.when(with_word(F.col("line")), line_id(normal(F.col("line"))))
     seen = store.stage(lines.select("rid", "doc_id", "pos", lid.alias("lid")).where("lid IS NOT NULL OR coalesce(pos, 0) = 0"), "seen")
     named = seen.join(roots, seen["lid"] == roots["node"], "left").select("rid", "doc_id", "pos", F.coalesce("root", "lid").alias("class"))
     named = store.stage(named, "named")
-    release(spark)
     key = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "rid", "pos")
     first = named.where("class IS NOT NULL").groupBy("class").agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
     gone = named.join(first, "class").where("rid <> first.rid OR pos <> first.pos").select("rid", "pos")
