@@ -7,23 +7,47 @@ a recomputation, and no task depends on another machine's local disk.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a local master gets a
+    temporary folder that goes with the driver; a cluster, whose machines share no such folder, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        where = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds inside the block only."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
+#: With it, Spark deletes a plan's shuffle files as soon as its result is written.
+CLEAN_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
 
@@ -39,10 +63,11 @@ class Store:
         self._seq += 1
         return f"{self.root}/{self._seq:03d}-{name}"
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def stage(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        """Write ``df`` and return the written table; the shuffle files of its plan go at once."""
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        with setting(self.spark, CLEAN_SETTING, "true"):
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tessera_path = path
         return out
@@ -86,18 +111,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of plans that nothing refers to any more: it does so only once
-    the driver's objects are collected, which may otherwise come long after the disk is needed."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first round finds the plans, the second what only they referred to; the cleaner is a thread of its own
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def tidy() -> None:
     """In a Python worker, which serves many tasks: give freed memory back to the system."""
     import ctypes
