@@ -93,8 +93,9 @@ def shingle(wide: Column, at: Column, size: int = SHINGLE) -> Column:
 
 
 def shingle_set(norm: Column, size: int = SHINGLE) -> Column:
-    wide = F.encode(norm, "UTF-32")
-    return F.array_distinct(F.transform(places(norm, size), lambda at: shingle(wide, at, size)))
+    """The distinct shingle hashes of a line. The outer transform binds the UTF-32 form, so it is made once a line, not once a shingle."""
+    each = F.transform(F.array(F.encode(norm, "UTF-32")), lambda wide: F.transform(places(norm, size), lambda at: shingle(wide, at, size)))
+    return F.array_distinct(each[0])
 
 
 def signatures(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
