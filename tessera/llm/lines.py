@@ -8,10 +8,11 @@
    the quarter of their shingles whose hash ends in 00; those under ``THIN / SIMILARITY`` over both sets,
    so any two lines that may be alike have a kind in common.
 3. Lines that agree in a band of ``ROWS`` minima share a bucket. ``BANDS`` bands reuse the minima.
-4. A bucket's lines meet its smallest line. Lines that are not of its component by then meet, chunk by
-   chunk, all lines of other components in the bucket, so no pair across components is left unchecked.
-   A pair counts once over all bands, and goes on only if ``AGREE`` of its minima agree.
-5. What is left is verified by the exact Jaccard index of the shingle sets.
+4. A bucket's lines meet its smallest line; a pair counts once over all bands. Lines that are not of its
+   component by then meet, block by block, all lines of other components in the bucket, so no pair across
+   components is left unchecked and no pairs of a group are written out.
+5. Pairs of which ``AGREE`` minima agree are verified by the exact Jaccard index of the shingle sets (within
+   blocks, a bitmap of the sets first rules out pairs that cannot share enough).
 6. Star rounds (large-star and small-star) join the links into components; of each component the
    first line by (doc_id, position) stays.
 
@@ -43,8 +44,8 @@ MINIMA, BANDS, ROWS = 32, 14, 6
 AGREE = 16
 #: Lines with so many shingles take their minima from a quarter of them.
 THIN = 256
-#: A bucket of more lines than this is compared in chunks.
-CHUNK = 1_000
+#: Lines, and characters, of a block: a large bucket is compared block by block.
+BLOCK_LINES, BLOCK_CHARS = 64, 1 << 15
 #: Rows up to this count are sent to the executors (they are counted first, 16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -54,6 +55,8 @@ MASKS = [int(x) for x in ((np.arange(MINIMA, dtype=np.uint64) << np.uint64(59))
 
 
 WORDS = [f"w{i}" for i in range(MINIMA // 8)]
+#: Words of the bitmap that bounds what two lines share.
+BITS = [f"b{i}" for i in range(32)]
 
 
 def bands(minima: int = MINIMA, count: int = BANDS, rows: int = ROWS) -> list[list[int]]:
@@ -120,11 +123,11 @@ def signatures(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return own.withColumn("main", ~F.col("thin") | (F.length("norm") - size + 1 > most))
 
 
-def agreeing(x: str, y: str) -> Column:
+def agreeing(x: Column, y: Column) -> Column:
     """How many of two lines' minima agree: the zero bytes of their sketches' xor."""
 
     def zero(w: str) -> Column:
-        v = F.col(f"{x}.{w}").bitwiseXOR(F.col(f"{y}.{w}"))
+        v = x[w].bitwiseXOR(y[w])
         for s in (4, 2, 1):
             v = v.bitwiseOR(F.shiftrightunsigned(v, s))
         return F.lit(8) - F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101)))
@@ -141,37 +144,66 @@ def similar(pairs: DataFrame, lines: DataFrame, similarity: float, size: int) ->
     return met.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def bitmaps(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(lid, norm) -> lid, m, b0..: the number of a line's distinct shingles, and the bits that their hashes set."""
+    each = lines.select("lid", F.explode(shingle_set(F.col("norm"), size)).alias("h"))
+    at, bit = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(BITS) - 1)), F.expr("shiftleft(1L, CAST(h & 63 AS INT))")
+    return each.groupBy("lid").agg(F.count("*").alias("m"), *[F.bit_or(F.when(at == i, bit).otherwise(F.lit(0))).alias(b) for i, b in enumerate(BITS)])
+
+
+def most_shared(x: Column, y: Column) -> Column:
+    """A bound on the shingles that two lines share: each bit that only x sets stands for a shingle that y lacks."""
+    return x["m"] - reduce(lambda a, b: a + b, [F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in BITS])
+
+
 def small(df: DataFrame, stored: DataFrame) -> DataFrame:
     """``df`` marked for broadcast if the stored table that it comes from is small enough."""
     return F.broadcast(df) if stored.count() <= BROADCAST_ROWS else df
 
 
-def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
-    """Links (a, b) that connect exactly what alike lines of shared buckets connect; ``lines``: stored ``signatures``."""
+def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Links (a, b) that connect exactly what alike lines of shared buckets connect; ``lines``: stored ``signatures``.
+
+    First each line meets the smallest of its bucket. A line that is not of that line's component then
+    meets blocks of the bucket's lines; a link is given once for each component that it joins, under the
+    component's name, so no pair of a group is written out."""
     sketch = F.struct(*WORDS).alias("s")
-    each = lines.select(F.explode("bands").alias("bucket"), "lid", "thin", sketch)
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("pivot")).where("n > 1")
-    shared = store.stage(shared, "buckets")
-    members = store.stage(each.join(small(shared, shared), "bucket"), "members")
+    each = lines.select(F.explode("bands").alias("bucket"), "lid", "thin", F.length("norm").alias("length"), sketch)
+    shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("pivot"), F.sum("length").alias("length")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / block_lines), F.ceil(F.col("length") / BLOCK_CHARS)).cast("int").alias("blocks")
+    shared = store.stage(shared.select("bucket", "n", "pivot", blocks), "buckets")
+    members = store.stage(each.drop("length").join(small(shared, shared), "bucket"), "members")
     pairs = members.where("lid <> pivot").select("thin", "pivot", "lid", "s").distinct()
     pivots = store.stage(members.where("lid = pivot").select("thin", "pivot", F.col("s").alias("t")).distinct(), "pivots")
-    met = pairs.join(small(pivots, pivots), ["thin", "pivot"]).where(agreeing("s", "t") >= AGREE).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))
+    met = pairs.join(small(pivots, pivots), ["thin", "pivot"]).where(agreeing(F.col("s"), F.col("t")) >= AGREE).select(F.col("pivot").alias("a"), F.col("lid").alias("b"))
     met = store.stage(met.distinct(), "met")
     links = store.stage(similar(met, lines_of(lines, met, store), similarity, size), "links")
     roots = store.stage(connected_components(spark, links, store), "roots")
-    # a bucket's lines that are not of its smallest line's component meet all lines of other components there
+    # a bucket's lines that are not of its smallest line's component meet the lines of other components there, block by block
     root = lambda c: small(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), roots)
-    now = members.join(root("lid"), "lid", "left").join(root("pivot"), "pivot", "left")
-    now = now.select("bucket", "thin", "n", "pivot", "lid", "s", F.coalesce("lid_root", "lid").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
-    now = store.stage(now.withColumn("apart", F.col("root") != F.col("pivot_root")), "now")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    left = now.where("apart AND n > 2").select("bucket", "lid", "root", "s", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("k"))
-    right = now.where("n > 2").select("bucket", F.col("lid").alias("other"), F.col("root").alias("other_root"), F.col("s").alias("t"), "apart", F.pmod(F.xxhash64("lid", F.lit(5)), chunks).cast("int").alias("k"), (F.col("lid") == F.col("pivot")).alias("first"))
-    across = left.join(right, ["bucket", "k"]).where((F.col("root") != F.col("other_root")) & ~F.col("first") & (~F.col("apart") | (F.col("lid") < F.col("other"))) & (agreeing("s", "t") >= AGREE))
-    more = store.stage(across.select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b")).distinct(), "across")
-    if more.isEmpty():
-        return links
-    return links.unionByName(store.stage(similar(more, lines_of(lines, more, store), similarity, size), "links"))
+    now = members.where("n > 2").join(root("lid"), "lid", "left").join(root("pivot"), "pivot", "left")
+    root_of = lambda c: F.coalesce(f"{c}_root", c)
+    now = now.select("bucket", "blocks", "lid", "s", root_of("lid").alias("root"), (root_of("lid") != root_of("pivot")).alias("apart"), F.pmod(F.xxhash64("lid", F.lit(5)), "blocks").cast("int").alias("k"))
+    now = store.stage(now, "now")
+    mine = now.where("apart").select("bucket", "lid", "root", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    theirs = now.groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s")).alias("block"))
+    plausible = lambda x: (x["root"] != F.col("root")) & (agreeing(F.col("s"), x["s"]) >= AGREE)
+    mine = store.stage(mine.join(theirs, ["bucket", "k"]).where(F.exists("block", plausible)).select("bucket", "k", "lid", "root", "s"), "mine")
+    blocks = store.stage(now.join(mine.select("bucket", "k").distinct(), ["bucket", "k"], "left_semi"), "theirs")
+    ids = store.stage(mine.select("lid").unionByName(blocks.select("lid")).distinct(), "ids")
+    active = store.stage(lines.where("main").select("lid", "norm").join(small(ids, ids), "lid", "left_semi"), "active")
+    active = store.stage(active.join(bitmaps(active, size), "lid"), "bits")
+    theirs = blocks.join(active, "lid").groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s", "m", *BITS, "norm")).alias("block"))
+    theirs = theirs.select("bucket", "k", F.transform("block", lambda x: x.withField("x", shingle_set(x["norm"], size)).dropFields("norm")).alias("block"))
+    mine = mine.join(active, "lid").repartition("bucket", "k").select("bucket", "k", "lid", "root", "s", F.struct("m", *BITS).alias("own"), shingle_set(F.col("norm"), size).alias("x"))
+
+    def alike(v: Column) -> Column:
+        enough = lambda both: both >= similarity * (F.col("own.m") + v["m"] - both)
+        return plausible(v) & enough(most_shared(F.col("own"), v)) & enough(F.size(F.array_intersect(F.col("x"), v["x"])))
+
+    found = mine.join(theirs, ["bucket", "k"]).select("lid", F.array_distinct(F.transform(F.filter("block", alike), lambda v: v["root"])).alias("roots"))
+    more = found.where(F.size("roots") > 0).select(F.col("lid").alias("b"), F.explode("roots").alias("a"))
+    return links.unionByName(store.stage(more.select("a", "b").distinct(), "more"))
 
 
 def lines_of(lines: DataFrame, pairs: DataFrame, store: Store) -> DataFrame:

@@ -459,8 +459,8 @@ def test_lines_recall_at_the_threshold(spark, length):
     assert {r.doc_id % 2 for r in got} == {1} and len(got) >= 0.93 * n
 
 
-@pytest.mark.parametrize("chunk", [40, 1000])
-def test_lines_star_and_unlike_pivots(spark, chunk):
+@pytest.mark.parametrize("block", [20, 64])
+def test_lines_star_and_unlike_pivots(spark, block):
     """Variants of one line that are not alike among themselves are one component; an unlike family stays apart."""
     rng = np.random.default_rng(5)
     base = letters(rng, 240)
@@ -475,7 +475,7 @@ def test_lines_star_and_unlike_pivots(spark, chunk):
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(rows)], "rid long, doc_id long, text string")
     store = Store(spark, "test")
     sig = store.stage(lines.signatures(df.select("text")), "lines")
-    links = lines.line_links(spark, sig, store, chunk=chunk)
+    links = lines.line_links(spark, sig, store, block_lines=block)
     name = {r.lid: r.norm for r in sig.where("main").collect()}
     _, distinct, sets = line_sets(list(enumerate(rows)))
     at = {x: i for i, x in enumerate(distinct)}
@@ -483,7 +483,7 @@ def test_lines_star_and_unlike_pivots(spark, chunk):
     assert len(pairs) < 250 * 250 / 4
     links = [(at[name[r.a]], at[name[r.b]]) for r in links.collect()]
     met, want = components(len(distinct), links), components(len(distinct), pairs)
-    assert {(max(p), min(p)) for p in links} <= set(pairs) and all(want[i] == want[c] for i, c in enumerate(met))
+    assert all(want[i] == want[c] for i, c in enumerate(met))
     assert len(set(met)) - len(set(want)) <= 5  # each variant has one link, to the base, met with probability 0.99
 
 
