@@ -308,6 +308,30 @@ def test_encoder_equals_library():
         assert enc.encode(t) == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids + [2], enc.dtype).tobytes(), repr(t)
 
 
+def test_encoder_composes_as_the_library():
+    """Every letter with every combining mark, alone and inside a text; random strings of them and special tokens."""
+    enc = tokens.Encoder(tokens.default_tokenizer(), 2)
+    want = lambda t: np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids + [2], enc.dtype).tobytes()
+    for base in "ABCDEFGHIJKLMNOPQRSTUVWXYZaeiouyhtwjÀÅéßœØ":
+        for mark in map(chr, range(0x300, 0x370)):
+            for t in (base + mark, f"x{base}{mark}{base} {base}{mark}. a"):
+                assert enc.encode(t) == want(t), repr(t)
+    rng, some = random.Random(4), [*"THWYJAEOthéÀ ,.'!", "\u0308", "\u0301", "\u0331", "\u030a", "\u030c", "\u1100", "\u1161", "ﬁ", "Ⅷ", "<|", "|>", "<|endoftext|>", "\u200d", "\u00a0", "\n"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(some) for _ in range(rng.randint(1, 10)))
+        assert enc.encode(t) == want(t), repr(t)
+
+
+def test_tokens_of_a_shared_id_keep_one_order(spark, tmp_path):
+    rows = [(7, t) for t in ["c", None, "a", "g", "b", "", "e"] * 3] + [(1, "x"), (None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for n in (1, 4):
+        tokens.write_tokens(spark, df.repartition(3), f"file://{tmp_path}/{n}", tokens.default_tokenizer(), partitions=n)
+        made.append([(r.doc_id, r.start, r.ids_crc32) for r in tokens.read_tokens(spark, f"file://{tmp_path}/{n}").orderBy("start").collect()])
+    assert made[0] == made[1] and [r[0] for r in made[0]] == [None, 1] + [7] * 21
+
+
 # 6
 def removed_by_force(texts, length):
     count = collections.Counter()
