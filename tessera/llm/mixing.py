@@ -7,7 +7,7 @@ rate. The coin depends on the seed and the document's id alone, so reruns and an
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a null
 id has the coin of the empty string, and rows that repeat an id share its coin; a source without
 tokens has target 0 and gives nothing; an empty table gives an empty result. Other columns pass
-through untouched, whatever their names: working columns live in one struct with a reserved name.
+through untouched, whatever their names: the three working columns begin with a reserved ``__tessera_``.
 """
 
 from __future__ import annotations
@@ -87,9 +87,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     right = per.select(F.col("source").alias("__tessera_source"), F.col("rate").alias("__tessera_rate"))
     out = docs.join(F.broadcast(right) if few else right, docs["source"].eqNullSafe(right["__tessera_source"]))
     rate = F.col("__tessera_rate")
-    copies = (F.floor(rate) + F.when(coin(docs["doc_id"], seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    copies = (F.floor(rate) + F.when(coin(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     out = out.withColumn("__tessera_copy", F.explode(F.array_repeat(F.lit(True), copies)))
-    return out.select(*[docs[c] for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ from tessera.store import Store, ship, table, tidy
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: The tree is cut where its leaves hold about so many fingerprints.
-LEAF_TARGET = 1_000
+#: Sending a fingerprint to one more leaf costs about so many comparisons; a node is split where that pays.
+ROW_COST = 500
 #: The sample that the tree is fitted on: one in SAMPLE_SHARE, at most SAMPLE_MAX (8 MB).
 SAMPLE_SHARE, SAMPLE_MAX, SAMPLE_MIN = 32, 1 << 20, 256
 #: A leaf of more rows than this is compared in chunks of this size, one task for each pair of chunks.
@@ -81,31 +81,36 @@ def _distance(a: np.ndarray, b) -> np.ndarray:
 class VPTree:
     """Nodes as arrays: vantage point, mu, children; a child below zero is leaf ``-child - 1``."""
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int = RADIUS, seed: int = 7):
-        self.radius, self.leaves = radius, 0
+    def __init__(self, sample: np.ndarray, n: int, radius: int = RADIUS, row_cost: int = ROW_COST, seed: int = 7):
+        """``sample`` of ``n`` fingerprints. A node's cost is that of its rows and of its pairs, by the sample's estimate."""
+        self.radius, self.leaves, self.scale, self.row_cost = radius, 0, n / max(1, len(sample)), row_cost
         self.points: list[int] = []
         self.mus: list[int] = []
         self.kids: list[list[int]] = []
         self.rng = np.random.default_rng(seed)
-        self.root = self._grow(np.sort(sample.astype(np.uint64)), depth)
+        self.root = self._grow(np.sort(sample.astype(np.uint64)))
         del self.rng
 
     def _leaf(self) -> int:
         self.leaves += 1
         return -self.leaves
 
-    def _grow(self, s: np.ndarray, depth: int) -> int:
-        if depth <= 0 or len(s) < 8:
+    def _cost(self, rows: int) -> float:
+        n = rows * self.scale
+        return n * self.row_cost + n * n / 2
+
+    def _grow(self, s: np.ndarray) -> int:
+        if len(s) < 8:
             return self._leaf()
         best = None
         for v in self.rng.choice(s, min(6, len(s)), replace=False):
             counts = np.cumsum(np.bincount(_distance(s, v), minlength=65))
             for mu in range(64 - self.radius):
                 inside, outside = int(counts[mu + self.radius]), len(s) - int(counts[mu])
-                cost = inside * inside + outside * outside
+                cost = self._cost(inside) + self._cost(outside)
                 if counts[mu] and outside and (best is None or cost < best[0]):
                     best = (cost, int(v), mu)
-        if best is None or best[0] >= 0.97 * len(s) ** 2:
+        if best is None or best[0] >= 0.95 * self._cost(len(s)):
             return self._leaf()
         _, v, mu = best
         d = _distance(s, np.uint64(v))
@@ -113,8 +118,8 @@ class VPTree:
         self.points.append(v)
         self.mus.append(mu)
         self.kids.append([0, 0])
-        self.kids[me][0] = self._grow(s[d <= mu + self.radius], depth - 1)
-        self.kids[me][1] = self._grow(s[d > mu], depth - 1)
+        self.kids[me][0] = self._grow(s[d <= mu + self.radius])
+        self.kids[me][1] = self._grow(s[d > mu])
         return me
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +142,11 @@ class VPTree:
         return np.concatenate(where), np.concatenate(leaf)
 
 
-def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, true_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect exactly what pairs within ``radius`` connect: among ``a``, or between ``a`` and ``b``.
 
     Rows are ordered by distance to one vantage point and compared in blocks; a block only sees the
-    columns whose distance the triangle bound allows. Returns (member, representative) pairs or, with
-    ``true_pairs``, pairs that lie within ``radius``: each row with its nearest and with one of each
-    group that it joins, so still a few for each row."""
+    columns whose distance the triangle bound allows. Returns (member, representative) pairs."""
     both = np.unique(a if b is None else np.concatenate([a, b]))
     if len(both) < 2:
         return both[:0], both[:0]
@@ -162,7 +165,6 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, true_
 
     step = 512
     label = parent.copy()
-    pairs: list[tuple[int, int]] = []
     for i in range(0, len(rows), step):
         r = rows[i : i + step]
         lo, hi = np.searchsorted(dc, dr[i] - radius), np.searchsorted(dc, dr[min(i + step, len(rows)) - 1] + radius, side="right")
@@ -171,20 +173,14 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, true_
         if lo >= hi:
             continue
         c = cols[lo:hi]
-        apart = _distance(both[r][:, None], both[c][None, :])
-        near = apart <= radius
+        near = _distance(both[r][:, None], both[c][None, :]) <= radius
         if b is None:
             near[np.arange(len(r)), np.arange(len(r)) + i - lo] = False
         for k in np.flatnonzero(near.any(axis=1)):
             mine, own = find(int(r[k])), c[near[k]]
-            if true_pairs:
-                pairs.append((int(r[k]), int(own[apart[k][near[k]].argmin()])))
-            groups, one = np.unique(label[own], return_index=True)
-            for other, i_ in zip(groups, one, strict=True):
+            for other in np.unique(label[own]):
                 other = find(int(other))
                 if other != mine:
-                    if true_pairs:
-                        pairs.append((int(r[k]), int(own[i_])))
                     low, high = (mine, other) if mine < other else (other, mine)
                     parent[high] = low
                     mine = low
@@ -194,9 +190,6 @@ def link_groups(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS, true_
                 break
             parent[:] = up
         label = parent.copy()
-    if true_pairs:
-        at = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
-        return both[at[:, 0]], both[at[:, 1]]
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
 
@@ -205,14 +198,14 @@ def _as_unsigned(s: pd.Series) -> np.ndarray:
     return s.to_numpy(np.int64).astype(np.uint64)
 
 
-def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int = RADIUS, leaf_target: int = LEAF_TARGET, leaf_rows: int = LEAF_ROWS, true_pairs: bool = False) -> DataFrame:
+def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int = RADIUS, row_cost: int = ROW_COST, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``fps``: stored distinct (fp). Returns links (a, b) that connect what lies within ``radius``."""
     ship(spark)
     n = fps.count()
     want = max(SAMPLE_MIN, min(SAMPLE_MAX, n // SAMPLE_SHARE))
     keep = min(1.0, want / max(n, 1))
     sample = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(keep * (1 << 30))).limit(2 * SAMPLE_MAX).toPandas()["fp"]
-    tree = VPTree(_as_unsigned(sample), int(np.ceil(np.log2(max(1, n / leaf_target)))), radius)
+    tree = VPTree(_as_unsigned(sample), n, radius, row_cost)
     sent = spark.sparkContext.broadcast(tree)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,7 +224,7 @@ def near_links(spark: SparkSession, fps: DataFrame, store: Store, radius: int =
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fp, k, i, j = _as_unsigned(pdf["fp"]), pdf["k"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        a, b = link_groups(fp, None, radius, true_pairs) if i == j else link_groups(fp[k == i], fp[k == j], radius, true_pairs)
+        a, b = link_groups(fp, None, radius) if i == j else link_groups(fp[k == i], fp[k == j], radius)
         return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64)})
 
     return tasks.groupBy("leaf", "i", "j").applyInPandas(link, "a long, b long")

@@ -39,6 +39,8 @@ LENGTH, K = 400, 32
 #: Bytes of text in one numpy pass; positions within a pass take 24 bits.
 PASS_BYTES = 4 << 20
 SPLITTER_SAMPLE = 20_000
+#: Bytes of suffixes that a range of the order is meant to hold, and that a task sorts and sends at once.
+RANGE_BYTES, RUN_BYTES = 8 << 20, 32 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -224,21 +226,34 @@ SENT = "target int, lcp binary, size binary, tail binary, left_size binary, left
 FOUND = "h long, c1 long, c2 long, windows array<struct<first:int,last:int>>"
 
 
-def resolve(spark: SparkSession, contexts: DataFrame, store: Store, parts: int, length: int = LENGTH, k: int = K) -> DataFrame:
+def resolve(spark: SparkSession, contexts: DataFrame, store: Store, least: int, length: int = LENGTH, k: int = K, range_bytes: int = RANGE_BYTES, run_bytes: int = RUN_BYTES) -> DataFrame:
     """``contexts``: stored (h, c1, c2, before, after), one row per distinct run content: bytes from its
     first window to its anchor, and from there to its last window's end. Returns the repeated windows
-    (relative to the first) of each content."""
-    total = contexts.count()
-    share = min(1.0, SPLITTER_SAMPLE / max(total, 1))
-    sample = contexts.where(F.pmod(F.xxhash64("c1", "c2"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.substring("after", 1, k).alias("s")).limit(2 * SPLITTER_SAMPLE)
+    (relative to the first) of each content. The order has a range for each ``range_bytes``, ``least`` at
+    least; a task sends a run for each ``run_bytes``."""
+    total, size = contexts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("after")), F.lit(0))).first()
+    parts = max(least, -(-size // range_bytes))
+    wanted = max(SPLITTER_SAMPLE, 20 * parts)
+    share = min(1.0, wanted / max(total, 1))
+    sample = contexts.where(F.pmod(F.xxhash64("c1", "c2"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.substring("after", 1, k).alias("s")).limit(2 * wanted)
     sample = sorted(bytes(r[0]) for r in sample.collect())
     # ranges part at K-grams, so suffixes that share one meet
     splitters = sorted({sample[i * len(sample) // parts] for i in range(1, parts)}) if sample else []
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for pdf in batches:
+            for x in zip(map(bytes, pdf["after"]), map(bytes, pdf["before"]), pdf["h"], pdf["c1"], pdf["c2"], strict=True):
+                rows.append(x)
+                size += len(x[0]) + len(x[1])
+                if size >= run_bytes:
+                    yield from run(rows)
+                    rows, size = [], 0
+        yield from run(rows)
+
+    def run(rows: list[tuple]) -> Iterator[pd.DataFrame]:
         import bisect
 
-        rows = [x for pdf in batches for x in zip(map(bytes, pdf["after"]), map(bytes, pdf["before"]), pdf["h"], pdf["c1"], pdf["c2"], strict=True)]
         rows.sort(key=lambda r: r[0])
         ranges: dict[int, list] = {}
         for r in rows:
@@ -313,8 +328,8 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, store: Store, length: i
 
     contexts = docs.select("rid", "text").join(per, "rid").mapInPandas(context, "h long, c1 long, c2 long, before binary, after binary")
     contexts = store.stage(contexts, "contexts")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = store.stage(resolve(spark, contexts, store, parts, length, k), "found")
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = store.stage(resolve(spark, contexts, store, least, length, k), "found")
     store.drop(contexts)
     whole = classes.where("n > 1").select("h", "c1", "c2", F.array(F.struct(F.lit(0).alias("first"), (F.col("one.last") - F.col("one.first")).cast("int").alias("last"))).alias("windows"))
     some = found.join(classes.where("n = 1").select("h", "c1", "c2"), ["h", "c1", "c2"]).select("h", "c1", "c2", "windows")

@@ -151,12 +151,20 @@ def test_vantage_point_tree_loses_no_link(spark, leaf_rows):
     df = store.stage(spark.createDataFrame([(int(x),) for x in fps.astype(np.int64)], "fp long"), "fps")
     want = components(len(fps), ((i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps) <= 3)))
     at = {int(x): i for i, x in enumerate(fps.astype(np.int64))}
-    for true_pairs in (False, True):
-        links = simhash.near_links(spark, df, store, leaf_target=50, leaf_rows=leaf_rows, true_pairs=true_pairs).collect()
-        got = components(len(fps), ((at[r.a], at[r.b]) for r in links))
-        assert got == want
-        if true_pairs:
-            assert all(bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 3 for r in links)
+    links = simhash.near_links(spark, df, store, row_cost=5, leaf_rows=leaf_rows).collect()
+    assert components(len(fps), ((at[r.a], at[r.b]) for r in links)) == want
+
+
+def test_vantage_point_tree_leaves_stay_small():
+    """Leaves of the production costs do not grow with the table, and copies grow by far less than it."""
+    rng = np.random.default_rng(2)
+    told = {}
+    for n in (20_000, 400_000):
+        fps = rng.integers(0, 2**64, n, dtype=np.uint64)
+        tree = simhash.VPTree(fps[: max(simhash.SAMPLE_MIN, n // simhash.SAMPLE_SHARE)], n)
+        _, leaf = tree.route(fps)
+        told[n] = len(leaf) / n, np.bincount(leaf).max()
+    assert told[400_000][0] <= 6 * told[20_000][0] and told[400_000][1] <= 3 * told[20_000][1], told
 
 
 def shingles5(text):
@@ -333,6 +341,24 @@ def test_tokens_of_a_shared_id_keep_one_order(spark, tmp_path):
 
 
 # 6
+def test_suffix_ranges_and_runs_are_bounded(spark):
+    """Small ranges and runs give the result of one of each."""
+    rng = random.Random(8)
+    shared = ["".join(rng.choice("abcd ") for _ in range(90)) for _ in range(6)]
+    rows = [(i, i, "".join(rng.choice("abcd ") for _ in range(40)) + rng.choice(shared) + str(i) + rng.choice(shared)) for i in range(60)]
+    df = spark.createDataFrame(rows, "rid long, doc_id long, text string")
+    store = Store(spark, "test")
+    found = []
+    for range_bytes, run_bytes in ((1 << 30, 1 << 30), (500, 700)):
+        held = suffixes.resolve
+        try:
+            suffixes.resolve = lambda *a, **k: held(*a, **k, range_bytes=range_bytes, run_bytes=run_bytes)  # noqa: B023
+            found.append({r.rid: suffixes.united(r.spans) for r in suffixes.repeated_spans(spark, df.select("rid", "text"), store, 64, 16).collect()})
+        finally:
+            suffixes.resolve = held
+    assert found[0] == found[1] and len(found[0]) > 50
+
+
 def removed_by_force(texts, length):
     count = collections.Counter()
     data = [(t or "").encode() for t in texts]
@@ -549,6 +575,11 @@ def test_water_filling(spark, sizes):
     assert got == pytest.approx(target)
 
 
+def test_mix_of_a_column_with_a_dot(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 3), (None, None, None, 4)], "doc_id long, text string, source string, `x.y` int")
+    assert mixing.mix(spark, df).columns == df.columns
+
+
 def test_mix_emits_whole_rows(spark, odd):
     df = spark.read.parquet(f"{odd}/documents.parquet")
     out = mixing.mix(spark, df)
