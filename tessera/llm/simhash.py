@@ -315,21 +315,24 @@ def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity:
     """``rows``: stored (tid, text, u), tid a hash of the text and u a row's own name. Returns links
     (a, b) of tids that connect what pairs of texts sharing ``similarity`` of their word shingles connect.
 
-    Texts with equal shingle sets collapse to one. Texts that agree in a band of MinHash minima meet in
-    its bucket, and every pair of a bucket is held against the exact Jaccard index of the shingles'
+    Texts with equal shingle sets collapse to one. Texts whose SimHash fingerprints (of the same shingles) are
+    of one component of the vantage-point tree's links share a bucket. At five words and 0.8 two fingerprints
+    differ in some ten bits, where no metric tree prunes any more, so texts that agree in a band of MinHash
+    minima share a bucket, too. Every pair of a bucket is held against the exact Jaccard index of the shingles'
     64-bit hashes unless the two are of one component by then. A bucket cut into chunks compares each
     chunk by itself, then the first with all others, then those pairs of chunks that are not yet of one
     component."""
     ship(spark)
 
-    @F.pandas_udf("hi long, lo long, size long, bands array<long>")
+    @F.pandas_udf("hi long, lo long, size long, fp long, bands array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
             own = [shingle_hashes(t, shingle) for t in texts]
             key = np.frombuffer(b"".join(xxhash.xxh3_128_digest(h.tobytes()) for h in own), ">i8").reshape(-1, 2).astype(np.int64)
-            yield pd.DataFrame({"hi": key[:, 0], "lo": key[:, 1], "size": [len(h) for h in own], "bands": [band_keys(h).astype(np.int64) for h in own]})
+            fp = np.array([fingerprint_of(t, shingle) for t in texts], np.uint64).astype(np.int64)
+            yield pd.DataFrame({"hi": key[:, 0], "lo": key[:, 1], "size": [len(h) for h in own], "fp": fp, "bands": [band_keys(h).astype(np.int64) for h in own]})
         tidy()
 
     @F.pandas_udf("array<long>")
@@ -342,7 +345,9 @@ def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity:
     some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", sketch.asNondeterministic()("text").alias("s")).select("tid", "u", "s.*"), "sketches")
     first = some.groupBy("hi", "lo").agg(F.min("tid").alias("rep"), F.count("*").alias("n"))
     same = store.stage(some.select("tid", "hi", "lo").join(first.where("n > 1"), ["hi", "lo"]).where("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")), "same")
-    each = some.join(same.select(F.col("a").alias("tid")), "tid", "left_anti").select("tid", "size", F.explode("bands").alias("bucket"))
+    alone = store.stage(some.join(same.select(F.col("a").alias("tid")), "tid", "left_anti").select("tid", "size", "fp", "bands"), "alone")
+    groups = store.stage(group_fingerprints(spark, alone.select(F.col("tid").alias("doc_id"), "fp"), store), "groups")
+    each = alone.select("tid", "size", F.explode("bands").alias("bucket")).unionByName(alone.join(groups, "fp").select("tid", "size", F.xxhash64("component_id", F.lit(0)).alias("bucket")))
     of = lambda k: F.bit_xor(F.xxhash64("tid", F.lit(k)))
     shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), of(1).alias("x"), of(2).alias("y")).where("n > 1")
     shared = shared.groupBy("n", "size", "x", "y").agg(F.min("bucket").alias("bucket"))  # buckets of the same texts once
