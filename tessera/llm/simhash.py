@@ -31,8 +31,9 @@ from tessera.store import Store, ship, table, tidy
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-#: Sending a fingerprint to one more leaf costs about so many comparisons; a node is split where that pays.
-ROW_COST = 500
+#: Sending a fingerprint to one more leaf (some microseconds) costs about so many comparisons (a nanosecond each);
+#: a node is split where that pays.
+ROW_COST = 8_000
 #: The sample that the tree is fitted on: one in SAMPLE_SHARE, at most SAMPLE_MAX (8 MB).
 SAMPLE_SHARE, SAMPLE_MAX, SAMPLE_MIN = 32, 1 << 20, 256
 #: A leaf of more rows than this is compared in chunks of this size, one task for each pair of chunks.
