@@ -37,7 +37,7 @@ ROW_COST = 8_000
 #: The sample that the tree is fitted on: one in SAMPLE_SHARE, at most SAMPLE_MAX (8 MB).
 SAMPLE_SHARE, SAMPLE_MAX, SAMPLE_MIN = 32, 1 << 20, 256
 #: A leaf of more rows than this is compared in chunks of this size, one task for each pair of chunks.
-LEAF_ROWS = 20_000
+LEAF_ROWS = 60_000
 
 
 def fingerprint_of(text: str | None, shingle: int = SHINGLE) -> int:
