@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.store import ship
 
 _ENTRIES: dict[str, tuple[Callable, str | None]] = {}
-MODULES = ("audits", "reports", "ledgers", "texts")
+MODULES = ("audits", "reports", "ledgers", "texts", "review")
 
 
 def query(sql: str | None = None):
