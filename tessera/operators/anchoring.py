@@ -131,3 +131,30 @@ def anchor_quotes(findings: DataFrame, words: DataFrame, page: str = "page") ->
 def find_phrase(pages: DataFrame, text: str, phrase) -> DataFrame:
     """Adds n_found: non-overlapping, case-insensitive occurrences of the phrase."""
     return pages.withColumn("n_found", T.occurrences(F.col(text), phrase))
+
+
+#: Quotes up to this count are sent to the executors (they are counted first); more meet the texts by three inner words.
+BROADCAST_QUOTES = 1_000
+
+
+def containing(texts: DataFrame, quotes: DataFrame, text: str, quote: str, most: int = BROADCAST_QUOTES) -> DataFrame:
+    """Pairs of texts and the quotes that stand in them, all columns of both.
+
+    A few quotes are looked up one by one. With more, a quote of five words or more is first joined to the texts by
+    its second to fourth words, which are whole words wherever the quote stands; shorter ones must be few.
+    Empty quotes stand nowhere."""
+    quotes = quotes.where(F.col(quote) != "")
+    hit = F.col(text).contains(F.col(quote))
+    if quotes.count() <= most:
+        return texts.join(F.broadcast(quotes), hit)
+    words = F.split(F.col(quote), " ")
+    long_ = quotes.where(F.size(words) >= 5)
+    short = quotes.where(F.size(words) < 5)
+    if (n := short.count()) > most:
+        raise ValueError(f"{n} quotes of under five words; {most} at most")
+    gram = lambda w, i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    keyed = long_.withColumn("__gram", gram(words, F.lit(1)))
+    own = F.split(F.col(text), " ")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - 3)), lambda i: gram(own, i)))
+    found = texts.withColumn("__gram", F.explode(grams)).join(keyed, "__gram").where(hit).drop("__gram")
+    return found.unionByName(texts.join(F.broadcast(short), hit))

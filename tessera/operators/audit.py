@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import numeric as N
 from tessera.functions import text as T
 
-#: An id list up to so many rows is sent to all executors (it is counted by Spark's own threshold, too).
+#: Ids are sent to the executors in blocks of so many (a few MB).
 NEAREST_IDS = 100_000
 
 
@@ -55,12 +55,25 @@ def grammar(ids: DataFrame, column: str = "id") -> DataFrame:
     return ids.select(T.id_signature(F.col(column)).alias("signature")).where("signature IS NOT NULL").distinct()
 
 
-def nearest(targets: DataFrame, ids: DataFrame, target: str = "target", column: str = "id", within: int | None = None) -> DataFrame:
-    """Each distinct target's closest id and distance; of equals the smallest id. Ids are broadcast."""
+def nearest(targets: DataFrame, ids: DataFrame, target: str = "target", column: str = "id", within: int | None = None, block: int = NEAREST_IDS) -> DataFrame:
+    """Each distinct target's closest id and distance; of equals the smallest id.
+
+    The ids are counted and taken in blocks of about ``block``, each broadcast and reduced to one row a target, so
+    neither what is sent nor what is kept grows with them; a target whose length differs by more than ``within``
+    from an id never meets it."""
     d = F.levenshtein("t", "i") if within is None else F.levenshtein("t", "i", within)
+    own = targets.select(F.col(target).alias("t")).distinct()
     few = ids.select(F.col(column).alias("i")).distinct()
-    pairs = targets.select(F.col(target).alias("t")).distinct().join(F.broadcast(few), F.lit(True) if within is None else d >= 0)
-    return pairs.groupBy("t").agg(F.min(F.struct(d.alias("distance"), F.col("i").alias("closest"))).alias("m")).select(F.col("t").alias(target), "m.closest", "m.distance")
+    parts = max(1, -(-few.count() // block))
+    meet = F.lit(True) if within is None else (F.abs(F.length("t") - F.length("i")) <= within) & (d >= 0)
+    best = None
+    for k in range(parts):
+        some = few if parts == 1 else few.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)
+        one = own.join(F.broadcast(some), meet).groupBy("t").agg(F.min(F.struct(d.alias("distance"), F.col("i").alias("closest"))).alias("m"))
+        best = one if best is None else best.unionByName(one)
+    if parts > 1:
+        best = best.groupBy("t").agg(F.min("m").alias("m"))
+    return best.select(F.col("t").alias(target), "m.closest", "m.distance")
 
 
 def classify_references(refs: DataFrame, ids: DataFrame, target: str = "target", column: str = "id") -> DataFrame:
@@ -72,7 +85,7 @@ def classify_references(refs: DataFrame, ids: DataFrame, target: str = "target",
     one = r.select("norm", "signature").distinct()
     one = one.join(known.select(F.col("id").alias("norm"), F.lit(True).alias("in_set")), "norm", "left")
     one = one.join(grammar(known).withColumn("fits", F.lit(True)), "signature", "left")
-    near = nearest(one.where("in_set IS NULL"), known, "norm", "id")
+    near = nearest(one.where(F.col("in_set").isNull() & ~T.is_non_sheet(F.col("norm"))), known, "norm", "id")
     size = known.agg((F.count("*") < 2).alias("unsure"))
     one = one.join(near, "norm", "left").join(F.broadcast(size))
     status = (

@@ -67,44 +67,80 @@ def is_duplicate(a: str, b: str, rects: bool = False) -> Column:
     return compatible(a, b) & ((overlap >= TEXT_DUP) | (equal & (overlap >= MODERATE)) | (equal & place))
 
 
-def _tokens(text: str | None) -> frozenset[str]:
-    import re
+RECT = ("x0", "y0", "x1", "y1")
 
-    return frozenset(re.findall("[a-z0-9]+", (text or "").lower())) - frozenset(T.STOP_WORDS)
+
+def _features(rows: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """What the duplicate test reads, as columns: tokens, tags, measurements, absence, category, quote, rectangle.
+
+    A column that ``rows`` lacks counts as empty; with no category at all, none stands in the way."""
+    has = lambda c: F.col(c) if c in rows.columns else F.lit("")
+    sig = F.concat_ws(" ", F.coalesce(F.col(text), F.lit("")), F.coalesce(has("source_quote"), F.lit("")))
+    rect = F.array(*[F.col(c).cast("double") for c in RECT]) if set(RECT) <= set(rows.columns) else F.lit(None).cast("array<double>")
+    made = {
+        "__tokens": F.array_sort(T.token_set(F.col(text))), "__tags": T.equipment_tags(sig), "__sizes": T.measurements(sig), "__absent": T.says_absent(sig),
+        "__category": F.coalesce(F.lower(has("category")), F.lit("")), "__quote": T.squash(has("source_quote")), "__rect": rect,
+    }
+    return rows.withColumns(made), list(made)
+
+
+def _overlap(a, b) -> float:
+    if a is None or b is None or any(v is None or v != v for v in (*a, *b)):
+        return 0.0
+    both = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    each = sum(max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1]) for r in (a, b))
+    return both / (each - both) if both > 0 else 0.0
+
+
+def _same_finding(a: tuple, b: tuple, threshold: float) -> bool:
+    """``is_duplicate`` on two rows' features: (tokens, tags, sizes, absent, category, quote, rectangle)."""
+    if any(x and y and not x & y for x, y in ((a[1], b[1]), (a[2], b[2]))) or a[3] != b[3]:
+        return False
+    if a[4] != b[4] and "question" not in (a[4], b[4]):
+        return False
+    shared = len(a[0] & b[0])
+    like = shared / (len(a[0]) + len(b[0]) - shared) if a[0] and b[0] else 0.0
+    equal = a[5] != "" and a[5] == b[5]
+    return like >= threshold or equal and (like >= MODERATE or _overlap(a[6], b[6]) > IOU_DUP)
 
 
 def complete_link(rows: DataFrame, key: str, order: str, text: str, threshold: float = TEXT_DUP) -> DataFrame:
-    """Greedy complete-link clusters of each key, in order: a row joins the first cluster all of whose
-    members are like it, else it starts one. Adds ``cluster``, the order value of the cluster's first row.
+    """Greedy complete-link clusters of each key, in order: a row joins the first cluster all of whose members
+    the full duplicate test calls the same (compatible tags, measurements, absence and category; and like texts, or
+    equal quotes with texts or rectangles that agree enough), else it starts one. Adds ``cluster``, the order value
+    of the cluster's first row. Columns source_quote, category and x0, y0, x1, y1 are read where ``rows`` has them.
 
-    Order decides, so a key's rows meet in one task; candidates come from an index of tokens."""
+    Order decides, so a key's rows (a page's findings) meet in one task; candidates come from an index of tokens and quotes."""
+    given, made = _features(rows, text)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        members: list[list[frozenset]] = []
+        members: list[list[tuple]] = []
         index: dict[str, set[int]] = {}
         heads, out = [], []
-        for o, t in zip(pdf[order], pdf[text], strict=True):
-            s = _tokens(t)
-            near = sorted({c for w in s for c in index.get(w, ())})
-            hit = next((c for c in near if all(s and m and len(s & m) / len(s | m) >= threshold for m in members[c])), None)
+        for o, tokens, tags, sizes, absent, category, quote, rect in zip(pdf[order], *[pdf[c] for c in made], strict=True):
+            own = (frozenset(tokens), frozenset(tags), frozenset(sizes), absent, category, quote, rect)
+            keys = [*own[0], *(["\0" + quote] if quote else [])]
+            near = sorted({c for w in keys for c in index.get(w, ())})
+            hit = next((c for c in near if all(_same_finding(m, own, threshold) for m in members[c])), None)
             if hit is None:
                 hit = len(members)
                 members.append([])
                 heads.append(o)
-            members[hit].append(s)
-            for w in s:
+            members[hit].append(own)
+            for w in keys:
                 index.setdefault(w, set()).add(hit)
             out.append(heads[hit])
-        return pdf.assign(cluster=out)
+        return pdf.drop(columns=made).assign(cluster=out)
 
     schema = rows.schema.simpleString()[7:-1]
     kind = dict(rows.dtypes)[order]
-    return rows.groupBy(key).applyInPandas(fold, f"{schema},cluster:{kind}")
+    return given.groupBy(key).applyInPandas(fold, f"{schema},cluster:{kind}")
 
 
 def post_anchor_fold(rows: DataFrame, key: str, threshold: float = TEXT_DUP) -> DataFrame:
-    """The second fold, of placed findings: as ``complete_link``, the best grounded first (adds rank, cluster)."""
+    """The second fold, of placed findings: as ``complete_link``, with rectangles where ``rows`` has x0, y0, x1, y1, the
+    best grounded first (adds rank, cluster)."""
     quality = [F.length(F.btrim(F.coalesce("source_quote", F.lit("")))).desc(), severity_rank(F.col("severity")).desc(), F.col("id").desc(), F.col("text").desc()]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*quality)))
     return complete_link(ranked, key, "rank", "text", threshold)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import numeric as N
+from tessera.operators.ledger import number_rows
 
 
 def source_ids(rows: DataFrame, path: str, order: str, name: str = "source_id") -> DataFrame:
-    """Distinct paths in order of first appearance, as SRC-0001 …; one row a path."""
+    """Distinct paths in order of first appearance, as SRC-0001 …; one row a path. Numbers are dealt out by range."""
     first = rows.groupBy(path).agg(F.min(order).alias("first_at"))
-    return first.withColumn(name, F.format_string("SRC-%04d", F.row_number().over(Window.orderBy("first_at", path))))
+    numbered = number_rows(rows.sparkSession, first, [F.col("first_at"), F.col(path)], "__n")
+    return numbered.withColumn(name, F.format_string("SRC-%04d", "__n")).drop("__n")
 
 
 def inventory(rows: DataFrame, path: str, order: str, usable: Column) -> DataFrame:
@@ -60,11 +62,15 @@ def cache_key(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[p.cast("string").alias(f"p{i:02d}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
-def set_fingerprint(rows: DataFrame, ident: str, sha: str, group: str) -> DataFrame:
-    """A digest of each group's sorted (id, content digest) pairs; empty where one is unknown."""
+def set_fingerprint(rows: DataFrame, ident: str, sha: str, group: str, groups: DataFrame | None = None) -> DataFrame:
+    """A digest of each group's sorted (id, content digest) pairs; empty where one is unknown, and for those of
+    ``groups`` (a table of all groups) that have no rows."""
     each = F.concat(F.col(ident).cast("string"), F.lit("\x1f"), F.col(sha), F.lit("\x1f"))
     per = rows.groupBy(group).agg(F.array_sort(F.collect_list(each)).alias("p"), F.bool_or(F.col(sha).isNull()).alias("unknown"))
-    return per.select(group, F.when(F.col("unknown"), "").otherwise(F.sha2(F.array_join("p", ""), 256)).alias("fingerprint"))
+    out = per.select(group, F.when(F.col("unknown"), "").otherwise(F.sha2(F.array_join("p", ""), 256)).alias("fingerprint"))
+    if groups is None:
+        return out
+    return groups.select(group).distinct().join(out, group, "left").select(group, F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:

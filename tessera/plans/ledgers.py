@@ -50,8 +50,7 @@ def quote_anchor_exact(spark, sf_dir):
     ws = r"[\x09-\x0D\x20]+"
     q = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower(F.btrim("text")), ws, " ").alias("q"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), ws, " ").alias("t"))
-    # the benchmark is a fixed, small list of quotes; documents are scanned once
-    return d.join(F.broadcast(q), F.col("t").contains(F.col("q"))).select("doc_id", "item_id", F.expr("locate(q, t)").alias("at"))
+    return anchoring.containing(d, q, "t", "q").select("doc_id", "item_id", F.expr("locate(q, t)").alias("at"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,7 +39,16 @@ def step(state: tuple, at: float, status: str, done: int) -> tuple:
 
 
 def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A job's polls in order. A job that no poll reaches for STALL_SECONDS of the clock is stalled (detached if it
+    has run for DETACH_SECONDS). A finished job's state is kept for DETACH_SECONDS, against late polls, then goes."""
     now = tuple(state.get) if state.exists else None
+    if state.hasTimedOut:
+        if now is None or now[4]:
+            state.remove()
+            return
+        at = state.getCurrentProcessingTimeMs() / 1000 if hasattr(state, "getCurrentProcessingTimeMs") else time.time()
+        now = (*now[:4], "detached" if at - now[0] >= DETACH_SECONDS else "stalled")
+        yield pd.DataFrame({"job": [key[0]], "at": [pd.Timestamp(at, unit="s")], "outcome": [now[4]], "done": [now[1]], "errors": [now[3]]})
     for pdf in batches:
         for r in pdf.sort_values("at").itertuples():
             at = r.at.timestamp()
@@ -48,11 +58,12 @@ def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 yield pd.DataFrame({"job": [key[0]], "at": [r.at], "outcome": [now[4]], "done": [now[1]], "errors": [now[3]]})
     if now is not None:
         state.update(now)
+        state.setTimeoutDuration(1000 * (DETACH_SECONDS if now[4] else STALL_SECONDS))
 
 
 def poll_outcomes(polls: DataFrame) -> DataFrame:
     """A stream of (job, at, status, done) polls -> one row when a job reaches its outcome."""
-    return polls.groupBy("job").applyInPandasWithState(watch, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return polls.groupBy("job").applyInPandasWithState(watch, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def journal(events: DataFrame, at: str = "at", delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:

@@ -169,11 +169,43 @@ def test_poll_stream(spark, tmp_path):
     df.write.json(str(src))
     stream = spark.readStream.schema("job string, at timestamp, status string, done long").json(str(src))
     q = poll_outcomes(stream).writeStream.format("memory").queryName("outcomes").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
+    import time
+
+    until = time.time() + 90
+    while spark.table("outcomes").count() < 2 and time.time() < until:  # a stream with timers never is out of batches
+        time.sleep(1)
     q.stop()
     assert {(r.job, r.outcome) for r in spark.table("outcomes").collect()} == {("j1", "ended"), ("j2", "stalled")}
 
 
+def test_poll_timer():
+    """A job that no poll reaches any more ends by the clock; a finished job's state goes."""
+    from tessera.streaming import polling as P
+
+    class State:
+        def __init__(self, value, now):
+            self.get, self.now, self.exists, self.hasTimedOut, self.wait = value, now, value is not None, True, None
+
+        def getCurrentProcessingTimeMs(self):  # noqa: N802
+            return self.now * 1000
+
+        def update(self, value):
+            self.get = value
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.wait = ms
+
+    for now, outcome in ((3600, "stalled"), (20_000, "detached")):
+        s = State((0.0, 3, 0.0, 0, ""), now)
+        out = list(P.watch(("j",), iter([]), s))
+        assert out[0].iloc[0]["outcome"] == outcome and s.get[4] == outcome and s.wait == 1000 * P.DETACH_SECONDS
+    s = State((0.0, 3, 0.0, 0, "ended"), 99_999)
+    assert list(P.watch(("j",), iter([]), s)) == [] and not s.exists
+
+
 def test_words_source(spark, tmp_path):
     import json
 
