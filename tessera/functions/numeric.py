@@ -57,8 +57,9 @@ def severity_of_gap(actual: Column, expected: Column) -> Column:
 
 
 def operands_in_quote(terms: Column, expected: Column, quote: Column) -> Column:
-    present = numbers_in(quote)
-    return F.forall(F.array_append(terms, expected), lambda t: F.array_contains(present, t))
+    # the outer transform binds the quote's numbers, so they are read once a row, not once an operand
+    held = F.transform(F.array(numbers_in(quote)), lambda present: F.forall(F.array_append(terms, expected), lambda t: F.array_contains(present, t)))
+    return held[0]
 
 
 def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -329,3 +329,38 @@ def starter_prompts(candidates: DataFrame, key: str, most: int = 5) -> DataFrame
     one = candidates.groupBy(key, "prompt").agg(F.min("priority").alias("priority"))
     top = one.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("priority", "prompt"))), 1, most).alias("p"))
     return top.select(key, F.posexplode("p").alias("pos", "p")).select(key, (F.col("pos") + 1).cast("long").alias("place"), "p.prompt")
+
+
+# --- report tables
+
+
+def page_link(path: Column, page_index: Column) -> Column:
+    """A link to a page of a written file, counted from 1; empty without a file."""
+    return F.when(path.isNull(), "").otherwise(F.concat(path, F.lit("#page="), (page_index + 1).cast("string")))
+
+
+def sorted_places(rows: DataFrame, key: str, original: str, sorts: dict[str, tuple[Column, int]]) -> DataFrame:
+    """Each row's place under several sorts of its key's table (value, 1 up or -1 down); equal values keep the original order."""
+    place = lambda v, way: F.row_number().over(Window.partitionBy(key).orderBy(v.asc() if way > 0 else v.desc(), F.col(original)))
+    return rows.select("*", *[place(v, way).alias(name) for name, (v, way) in sorts.items()])
+
+
+def channels(parts: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all channels, tagged with their source; columns that a channel lacks are null."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn("source", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def sheet_status(calls: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, failed, cached) a call -> a row a sheet: OK, PARTIAL or FAILED, tokens, whether all came from the cache, calls."""
+    per = calls.groupBy(key).agg(F.sum("tokens").cast("long").alias("tokens"), F.count_if("failed").alias("bad"), F.bool_and("cached").alias("cached"), F.count("*").alias("calls"))
+    status = F.when(F.col("bad") == F.col("calls"), "FAILED").when(F.col("bad") > 0, "PARTIAL").otherwise("OK")
+    return per.select(key, status.alias("status"), "tokens", "cached", "calls")
+
+
+def manifest(row: Column) -> Column:
+    """A run's accounting as JSON, its texts without secrets."""
+    return T.redact(F.to_json(row, {"ignoreNullFields": "false"}))

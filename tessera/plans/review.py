@@ -316,3 +316,85 @@ def evidence_summary(spark, sf_dir):
         F.count("*").alias("findings"), F.count_if(F.col("l_returnflag") == "R").alias("rejected"), F.count_if(F.col("l_quantity") > 25).alias("anchored"),
         F.count_distinct("l_partkey").alias("sheets"), F.when(F.bool_or(F.col("l_linestatus") == "O"), "OPEN").otherwise("DONE").alias("status"),
     )
+
+
+@query("""WITH f AS (SELECT l_suppkey AS grp, l_partkey, l_orderkey, l_linenumber, 'M-' || (l_partkey % 50) AS sheet FROM lineitem WHERE l_quantity > 48), p AS (SELECT 'M-' || p_partkey AS sheet, 'out/' || p_brand || '.pdf' AS path FROM part WHERE p_partkey < 50 AND p_partkey % 4 <> 1)
+SELECT l_orderkey, l_linenumber, l_partkey, f.sheet, CASE WHEN path IS NULL THEN '' ELSE path || '#page=' || (l_partkey % 9 + 1) END AS link FROM f LEFT JOIN p ON f.sheet = p.sheet""")
+def report_links(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("M-"), (F.col("l_partkey") % 50).cast("string")).alias("sheet"))
+    p = table(spark, sf_dir, "part").where("p_partkey < 50 AND p_partkey % 4 <> 1").select(F.concat(F.lit("M-"), F.col("p_partkey").cast("string")).alias("sheet"), F.concat(F.lit("out/"), "p_brand", F.lit(".pdf")).alias("path"))
+    return V.with_page(f, p, ["sheet"]).select("l_orderkey", "l_linenumber", "l_partkey", "sheet", V.page_link(F.col("path"), F.col("l_partkey") % 9).alias("link"))
+
+
+@query("""WITH f AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS severity, lower(trim(o_orderstatus)) AS status FROM orders)
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY severity DESC, o_orderkey) AS by_severity, row_number() OVER (PARTITION BY o_custkey ORDER BY status, o_orderkey) AS by_status FROM f""")
+def report_sort(spark, sf_dir):
+    f = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END").alias("severity"), "o_orderstatus")
+    by = V.sorted_places(f, "o_custkey", "o_orderkey", {"by_severity": (F.col("severity"), -1), "by_status": (F.lower(F.btrim("o_orderstatus")), 1)})
+    return by.select("o_custkey", "o_orderkey", *[F.col(c).cast("long").alias(c) for c in ("by_severity", "by_status")])
+
+
+@query("""WITH a AS (SELECT 'digest_json' AS source, doc_id AS id, 'd' || lang AS text, NULL AS anchor FROM documents), b AS (SELECT 'critique_1', conv_id * 100 + turn, role, 'turn ' || turn FROM conversations), c AS (SELECT 'auditor_naming', item_id, NULL, 'item' FROM benchmark)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
+def channel_union(spark, sf_dir):
+    digest = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), "lang").alias("text"))
+    critique = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("role").alias("text"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("anchor"))
+    naming = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("anchor"))
+    return V.channels({"digest_json": digest, "critique_1": critique, "auditor_naming": naming}).select("source", "id", "text", "anchor")
+
+
+@query("""WITH s AS (SELECT user_id AS sheet, sum(event_id % 700) AS tokens, count(*) FILTER (WHERE event_type = 'error') AS failed, bool_and(event_id % 2 = 0) AS cached, count(*) AS calls FROM events GROUP BY 1)
+SELECT sheet, CASE WHEN failed = calls THEN 'FAILED' WHEN failed > 0 THEN 'PARTIAL' ELSE 'OK' END AS status, CAST(tokens AS BIGINT) AS tokens, cached, calls FROM s""")
+def sheet_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sheet"), (F.col("event_id") % 700).alias("tokens"), (F.col("event_type") == "error").alias("failed"), (F.col("event_id") % 2 == 0).alias("cached"))
+    return V.sheet_status(e, "sheet")
+
+
+@query("""WITH r AS (SELECT c_nationkey AS run, count(*) AS sheets, CAST(sum(c_custkey % 5) AS BIGINT) AS findings, count(*) FILTER (WHERE c_acctbal < 0) AS failed, min(c_name) AS note FROM customer GROUP BY 1)
+SELECT run, '{"run":' || run || ',"sheets":' || sheets || ',"findings":' || findings || ',"failed":' || failed || ',"note":"key sk-[REDACTED] of ' || note || '"}' AS manifest FROM r""")
+def run_manifest(spark, sf_dir):
+    r = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run")).agg(F.count("*").alias("sheets"), F.sum(F.col("c_custkey") % 5).alias("findings"), F.count_if(F.col("c_acctbal") < 0).alias("failed"), F.concat(F.lit("key sk-ant-" + "a1B2" * 8 + " of "), F.min("c_name")).alias("note"))
+    return r.select("run", V.manifest(F.struct("run", "sheets", "findings", "failed", "note")).alias("manifest"))
+
+
+QUOTE = "'TOTAL ' || CAST(l_quantity AS BIGINT) || ' + 1,' || lpad(CAST(l_suppkey AS VARCHAR), 3, '0') || ' = ' || (CAST(l_quantity AS BIGINT) + l_partkey)"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_suppkey < 1000),
+s AS (SELECT *, 1000 + l_suppkey AS t, q + l_partkey AS e, q + 1000 + l_suppkey AS a FROM c)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN 'matched' ELSE 'mismatched' END AS outcome,
+ CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN NULL WHEN l_suppkey % 3 = 0 THEN 'MODEL_TRANSCRIBED' ELSE 'TEXT_EXTRACTED' END AS origin FROM s""")
+def quoted_operands(spark, sf_dir):
+    from tessera.functions import numeric as N
+    from tessera.operators import audit as A
+
+    q = F.col("l_quantity").cast("long")
+    c = table(spark, sf_dir, "lineitem").where("l_suppkey < 1000")
+    shown = F.concat(F.lit("TOTAL "), q.cast("string"), F.lit(" + 1,"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.lit(" = "), F.when(F.col("l_suppkey") % 3 == 0, F.lit("?")).otherwise((q + F.col("l_partkey")).cast("string")))
+    dec = lambda x: x.cast(N.NUMBER)
+    claims = c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("sum").alias("kind"), F.array(dec(q), dec(F.col("l_suppkey") + 1000)).alias("terms"), dec(q + F.col("l_partkey")).alias("expected"), shown.alias("quote"))
+    return A.arithmetic(claims).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "outcome", "origin")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_brand, 'M-' || (p_size % 4 + 1) AS tag, (p_size % 3 * 50 + 100) || ' gpm' AS size, p_size % 5 = 0 AS absent, CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END AS category, p_name FROM part WHERE p_partkey < 600)
+SELECT a.p_partkey AS a, b.p_partkey AS b, a.tag = b.tag AND a.size = b.size AND a.absent = b.absent AND (a.category = b.category OR 'question' IN (a.category, b.category))
+ AND (a.p_name = b.p_name OR (split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) OR split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1))) AS same
+FROM f a JOIN f b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+def duplicate_findings(spark, sf_dir):
+    from tessera.operators import ledger as L
+
+    p = table(spark, sf_dir, "part").where("p_partkey < 600")
+    # seven tokens, two of which (the part's name) may differ: one that differs leaves 6 of 8, two leave 5 of 9
+    text = F.expr("concat('unit M-', p_size % 4 + 1, ' flow ', p_size % 3 * 50 + 100, ' gpm ', p_name, CASE WHEN p_size % 5 = 0 THEN ' missing' ELSE ' drawn' END)")
+    f = p.select("p_partkey", "p_brand", F.struct(text.alias("text"), F.lit("").alias("source_quote"), F.expr("CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END").alias("category")).alias("f"))
+    a, b = (f.select("p_brand", F.col("p_partkey").alias(f"{s}"), F.col("f").alias(f"f{s}")) for s in "ab")
+    return a.join(b, "p_brand").where("a < b").select("a", "b", L.is_duplicate("fa", "fb").alias("same"))
+
+
+@query("""SELECT p_partkey, 'M-' || p_size || '.' || (p_partkey % 9) AS id FROM part""")
+def fullwidth_ids(spark, sf_dir):
+    """Identifiers in full-width characters, with a wide dash and a joiner, have the normal form of the plain ones."""
+    from tessera.functions import text as T
+
+    wide = F.translate(F.expr("concat('m-', p_size, '.', p_partkey % 9)"), "m0123456789.-", "ｍ０１２３４５６７８９．–")
+    return table(spark, sf_dir, "part").select("p_partkey", T.sheet_id(F.concat(F.lit("("), wide, F.lit("​)")), True).alias("id"))
