@@ -357,13 +357,10 @@ def run_manifest(spark, sf_dir):
     return r.select("run", V.manifest(F.struct("run", "sheets", "findings", "failed", "note")).alias("manifest"))
 
 
-QUOTE = "'TOTAL ' || CAST(l_quantity AS BIGINT) || ' + 1,' || lpad(CAST(l_suppkey AS VARCHAR), 3, '0') || ' = ' || (CAST(l_quantity AS BIGINT) + l_partkey)"
-
-
-@query(f"""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_suppkey < 1000),
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_suppkey < 1000),
 s AS (SELECT *, 1000 + l_suppkey AS t, q + l_partkey AS e, q + 1000 + l_suppkey AS a FROM c)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN 'matched' ELSE 'mismatched' END AS outcome,
- CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN NULL WHEN l_suppkey % 3 = 0 THEN 'MODEL_TRANSCRIBED' ELSE 'TEXT_EXTRACTED' END AS origin FROM s""")
+ CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN NULL WHEN l_suppkey % 3 = 0 AND e NOT IN (q, t) THEN 'MODEL_TRANSCRIBED' ELSE 'TEXT_EXTRACTED' END AS origin FROM s""")
 def quoted_operands(spark, sf_dir):
     from tessera.functions import numeric as N
     from tessera.operators import audit as A
