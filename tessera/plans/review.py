@@ -66,12 +66,12 @@ def titleblock_band(spark, sf_dir):
     return V.title_band(words, ids, ["page"]).select("l_orderkey", "l_linenumber", "page", "text")
 
 
-@query("""WITH h AS (SELECT DISTINCT lower(substr(c_mktsegment, 1, 1)) AS d FROM customer WHERE c_custkey % 3 = 0),
+@query("""WITH h AS (SELECT DISTINCT lower(substr(c_mktsegment, 1, 1)) AS d FROM customer),
 p AS (SELECT p_partkey AS name, lower(substr(p_brand, 7, 1)) AS b, lower(left(p_name, 1)) AS a FROM part)
 SELECT name FROM p WHERE a IN (SELECT d FROM h) OR b IN (SELECT d FROM h)""")
 def profile_disciplines(spark, sf_dir):
     profiles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), F.array(F.lower(F.substring("p_brand", 7, 1)), F.lower(F.left("p_name", F.lit(1)))).alias("disciplines"))
-    sheets = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.concat(F.left("c_mktsegment", F.lit(1)), F.lit("-"), F.col("c_custkey").cast("string")).alias("sheet"))
+    sheets = table(spark, sf_dir, "customer").select(F.concat(F.left("c_mktsegment", F.lit(1)), F.lit("-"), F.col("c_custkey").cast("string")).alias("sheet"))
     return V.suggested_profiles(profiles, sheets, "sheet").select("name")
 
 
@@ -134,12 +134,12 @@ def fact_handles(spark, sf_dir):
     return V.bound_facts(facts, sheets, "request", "ord", most=3)
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS q, l_partkey FROM lineitem WHERE l_linenumber <= 3),
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS q, l_partkey FROM lineitem),
 k AS (SELECT *, CASE l_partkey % 5 WHEN 0 THEN 'SUM' WHEN 1 THEN 'product' WHEN 2 THEN 'ratio' ELSE ' factor ' END AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, q, l_partkey) AS pos FROM c),
 v AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS rn FROM k WHERE l_partkey % 5 <> 2 AND l_suppkey % 6 <> 0 AND l_suppkey % 7 <> 0)
 SELECT l_orderkey, CASE WHEN l_suppkey % 4 = 0 THEN 'file-p' || (l_orderkey % 9) ELSE 'M-' || l_suppkey END AS sheet_id, lower(trim(kind)) AS kind, q || ',' || (q + 1) AS terms, CAST(q * 2 AS VARCHAR) AS expected FROM v WHERE rn <= 2""")
 def numeric_claims(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_partkey")
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_partkey")
     kind = F.expr("CASE l_partkey % 5 WHEN 0 THEN 'SUM' WHEN 1 THEN 'product' WHEN 2 THEN 'ratio' ELSE ' factor ' END")
     terms = F.when(F.col("l_suppkey") % 6 == 0, F.lit("[]")).when(F.col("l_orderkey") % 2 == 0, F.format_string('["%d", "%d"]', "q", F.col("q") + 1)).otherwise(F.format_string("[%d,%d]", "q", F.col("q") + 1))
     expected = F.when(F.col("l_suppkey") % 7 == 0, F.lit("true")).otherwise((F.col("q") * 2).cast("string"))
@@ -151,14 +151,14 @@ def numeric_claims(spark, sf_dir):
     return out.select("l_orderkey", "sheet_id", "kind", F.array_join("terms", ",").alias("terms"), "expected")
 
 
-@query("""WITH i AS (SELECT c_nationkey AS grp, c_custkey AS ord, 'NFPA ' || (c_custkey % 12) AS display, CASE WHEN c_custkey % 5 = 0 THEN 'amended' ELSE '' END AS note FROM customer WHERE c_custkey % 29 = 3),
-h AS (SELECT c_nationkey AS grp, c_custkey AS ord, 'nfpa  ' || (c_custkey % 20) AS code FROM customer WHERE c_custkey % 31 = 5),
+@query("""WITH i AS (SELECT c_nationkey AS grp, c_custkey AS ord, 'NFPA ' || (c_custkey % 12) AS display, CASE WHEN c_custkey % 5 = 0 THEN 'amended' ELSE '' END AS note FROM customer WHERE c_custkey % 2 = 0),
+h AS (SELECT c_nationkey AS grp, c_custkey AS ord, 'nfpa  ' || (c_custkey % 20) AS code FROM customer WHERE c_custkey % 2 = 1),
 e AS (SELECT grp, 0 AS g, ord, display || CASE WHEN note <> '' THEN ' (' || note || ')' ELSE '' END AS t FROM i UNION ALL SELECT grp, 1, ord, code FROM h WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.grp = h.grp AND i.display = upper(replace(h.code, '  ', ' '))))
 SELECT grp, string_agg(t, '; ' ORDER BY g, ord, t) AS editions FROM e GROUP BY 1""")
 def merged_editions(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    ident = c.where("c_custkey % 29 = 3").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("ord"), F.concat(F.lit("NFPA "), (F.col("c_custkey") % 12).cast("string")).alias("display"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'amended' ELSE '' END").alias("note"))
-    harvested = c.where("c_custkey % 31 = 5").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("ord"), F.concat(F.lit("nfpa  "), (F.col("c_custkey") % 20).cast("string")).alias("code"))
+    ident = c.where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("ord"), F.concat(F.lit("NFPA "), (F.col("c_custkey") % 12).cast("string")).alias("display"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'amended' ELSE '' END").alias("note"))
+    harvested = c.where("c_custkey % 2 = 1").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("ord"), F.concat(F.lit("nfpa  "), (F.col("c_custkey") % 20).cast("string")).alias("code"))
     return V.merged_editions(ident, harvested, "grp")
 
 
@@ -231,18 +231,18 @@ def combined_document(spark, sf_dir):
     return V.combined_document(s, "grp", "c_custkey")
 
 
-@query("""WITH t AS (SELECT l_suppkey AS sheet, l_linenumber AS tile, l_partkey AS part, l_orderkey AS ord FROM lineitem WHERE l_quantity > 40)
+@query("""WITH t AS (SELECT l_suppkey AS sheet, l_linenumber AS tile, l_partkey AS part, l_orderkey AS ord FROM lineitem)
 SELECT sheet, tile, count(*) AS n, string_agg(part || ':' || ord, ',' ORDER BY part, ord) AS findings FROM t GROUP BY ALL""")
 def tile_index(spark, sf_dir):
-    t = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("tile"), F.struct(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("ord")).alias("f"))
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_linenumber").alias("tile"), F.struct(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("ord")).alias("f"))
     per = t.groupBy("sheet", "tile").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("f")).alias("f"))
     return per.select("sheet", "tile", "n", F.array_join(F.transform("f", lambda x: F.concat(x["part"].cast("string"), F.lit(":"), x["ord"].cast("string"))), ",").alias("findings"))
 
 
-@query("""WITH r AS (SELECT c_nationkey AS grp, c_custkey AS id, '<b>' || c_name || '</b>' AS text, c_mktsegment AS category FROM customer WHERE c_custkey % 7 = 1)
+@query("""WITH r AS (SELECT c_nationkey AS grp, c_custkey AS id, '<b>' || c_name || '</b>' AS text, c_mktsegment AS category FROM customer)
 SELECT grp, replace('[' || string_agg(CAST(to_json({'id': id, 'text': text, 'category': category}) AS VARCHAR), ',' ORDER BY id) || ']', '<', '\\u003c') AS block FROM r GROUP BY 1""")
 def report_data_blocks(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").where("c_custkey % 7 = 1").select(F.col("c_nationkey").alias("grp"), F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("<b>"), "c_name", F.lit("</b>")).alias("text"), F.col("c_mktsegment").alias("category")).alias("row"))
+    r = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("<b>"), "c_name", F.lit("</b>")).alias("text"), F.col("c_mktsegment").alias("category")).alias("row"))
     return r.groupBy("grp").agg(F.array_sort(F.collect_list("row")).alias("rows")).select("grp", V.inert_json(F.col("rows")).alias("block"))
 
 
@@ -283,12 +283,12 @@ def cache_migration(spark, sf_dir):
     return V.migrated(table(spark, sf_dir, "events").select("event_id", old.alias("json")), "event_id", "json", 2)
 
 
-@query("""WITH a AS (SELECT l_partkey AS id, l_suppkey AS s, 0 AS o FROM lineitem WHERE l_quantity > 47), b AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS s, 1 AS o FROM part WHERE p_size % 3 = 0), e AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+@query("""WITH a AS (SELECT l_partkey AS id, l_suppkey AS s, 0 AS o FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS s, 1 AS o FROM part WHERE p_retailprice > 905), e AS (SELECT * FROM a UNION ALL SELECT * FROM b),
 one AS (SELECT id, arg_min(s, (o, s)) AS s, min(o) AS o FROM e GROUP BY id), st AS (SELECT o, count(*) AS found FROM e GROUP BY o)
 SELECT id, s, CASE one.o WHEN 0 THEN 'reference' ELSE 'naming' END AS part, found FROM one JOIN st ON one.o = st.o""")
 def auditor_union(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").where("l_quantity > 47").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("s"))
-    b = table(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("s"))
+    a = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("s"))
+    b = table(spark, sf_dir, "part").where("p_retailprice > 905").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("s"))
     one, stats = V.combine({"reference": a, "naming": b}, "id", ["s"])
     return one.join(F.broadcast(stats), "part").select("id", "s", "part", "found")  # stats: a row a part
 
@@ -318,11 +318,11 @@ def evidence_summary(spark, sf_dir):
     )
 
 
-@query("""WITH f AS (SELECT l_suppkey AS grp, l_partkey, l_orderkey, l_linenumber, 'M-' || (l_partkey % 50) AS sheet FROM lineitem WHERE l_quantity > 48), p AS (SELECT 'M-' || p_partkey AS sheet, 'out/' || p_brand || '.pdf' AS path FROM part WHERE p_partkey < 50 AND p_partkey % 4 <> 1)
+@query("""WITH f AS (SELECT l_suppkey AS grp, l_partkey, l_orderkey, l_linenumber, 'M-' || l_partkey AS sheet FROM lineitem), p AS (SELECT 'M-' || p_partkey AS sheet, 'out/' || p_brand || '.pdf' AS path FROM part WHERE p_partkey % 4 <> 1)
 SELECT l_orderkey, l_linenumber, l_partkey, f.sheet, CASE WHEN path IS NULL THEN '' ELSE path || '#page=' || (l_partkey % 9 + 1) END AS link FROM f LEFT JOIN p ON f.sheet = p.sheet""")
 def report_links(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("M-"), (F.col("l_partkey") % 50).cast("string")).alias("sheet"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 50 AND p_partkey % 4 <> 1").select(F.concat(F.lit("M-"), F.col("p_partkey").cast("string")).alias("sheet"), F.concat(F.lit("out/"), "p_brand", F.lit(".pdf")).alias("path"))
+    f = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("M-"), F.col("l_partkey").cast("string")).alias("sheet"))
+    p = table(spark, sf_dir, "part").where("p_partkey % 4 <> 1").select(F.concat(F.lit("M-"), F.col("p_partkey").cast("string")).alias("sheet"), F.concat(F.lit("out/"), "p_brand", F.lit(".pdf")).alias("path"))
     return V.with_page(f, p, ["sheet"]).select("l_orderkey", "l_linenumber", "l_partkey", "sheet", V.page_link(F.col("path"), F.col("l_partkey") % 9).alias("link"))
 
 
@@ -357,8 +357,8 @@ def run_manifest(spark, sf_dir):
     return r.select("run", V.manifest(F.struct("run", "sheets", "findings", "failed", "note")).alias("manifest"))
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_suppkey < 1000),
-s AS (SELECT *, 1000 + l_suppkey AS t, q + l_partkey AS e, q + 1000 + l_suppkey AS a FROM c)
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+s AS (SELECT *, 1000 + l_suppkey % 1000 AS t, q + l_partkey AS e, q + 1000 + l_suppkey % 1000 AS a FROM c)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN 'matched' ELSE 'mismatched' END AS outcome,
  CASE WHEN abs(a - e) <= greatest(abs(a), abs(e)) * 0.01 OR abs(a - e) <= 0.01 THEN NULL WHEN l_suppkey % 3 = 0 AND e NOT IN (q, t) THEN 'MODEL_TRANSCRIBED' ELSE 'TEXT_EXTRACTED' END AS origin FROM s""")
 def quoted_operands(spark, sf_dir):
@@ -366,26 +366,26 @@ def quoted_operands(spark, sf_dir):
     from tessera.operators import audit as A
 
     q = F.col("l_quantity").cast("long")
-    c = table(spark, sf_dir, "lineitem").where("l_suppkey < 1000")
-    shown = F.concat(F.lit("TOTAL "), q.cast("string"), F.lit(" + 1,"), F.lpad(F.col("l_suppkey").cast("string"), 3, "0"), F.lit(" = "), F.when(F.col("l_suppkey") % 3 == 0, F.lit("?")).otherwise((q + F.col("l_partkey")).cast("string")))
+    c = table(spark, sf_dir, "lineitem")
+    shown = F.concat(F.lit("TOTAL "), q.cast("string"), F.lit(" + 1,"), F.lpad((F.col("l_suppkey") % 1000).cast("string"), 3, "0"), F.lit(" = "), F.when(F.col("l_suppkey") % 3 == 0, F.lit("?")).otherwise((q + F.col("l_partkey")).cast("string")))
     dec = lambda x: x.cast(N.NUMBER)
-    claims = c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("sum").alias("kind"), F.array(dec(q), dec(F.col("l_suppkey") + 1000)).alias("terms"), dec(q + F.col("l_partkey")).alias("expected"), shown.alias("quote"))
+    claims = c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.lit("sum").alias("kind"), F.array(dec(q), dec(F.col("l_suppkey") % 1000 + 1000)).alias("terms"), dec(q + F.col("l_partkey")).alias("expected"), shown.alias("quote"))
     return A.arithmetic(claims).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "outcome", "origin")
 
 
-@query("""WITH f AS (SELECT p_partkey, p_brand, 'M-' || (p_size % 4 + 1) AS tag, (p_size % 3 * 50 + 100) || ' gpm' AS size, p_size % 5 = 0 AS absent, CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END AS category, p_name FROM part WHERE p_partkey < 600)
+@query("""WITH f AS (SELECT p_partkey, p_brand, 'M-' || (p_size % 4 + 1) AS tag, (p_size % 3 * 50 + 100) || ' gpm' AS size, p_size % 5 = 0 AS absent, CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END AS category, p_name, p_partkey // 20 AS page FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, a.tag = b.tag AND a.size = b.size AND a.absent = b.absent AND (a.category = b.category OR 'question' IN (a.category, b.category))
  AND (a.p_name = b.p_name OR (split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) OR split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1))) AS same
-FROM f a JOIN f b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+FROM f a JOIN f b ON a.page = b.page AND a.p_partkey < b.p_partkey""")
 def duplicate_findings(spark, sf_dir):
     from tessera.operators import ledger as L
 
-    p = table(spark, sf_dir, "part").where("p_partkey < 600")
+    p = table(spark, sf_dir, "part").withColumn("page", F.floor(F.col("p_partkey") / 20))
     # seven tokens, two of which (the part's name) may differ: one that differs leaves 6 of 8, two leave 5 of 9
     text = F.expr("concat('unit M-', p_size % 4 + 1, ' flow ', p_size % 3 * 50 + 100, ' gpm ', p_name, CASE WHEN p_size % 5 = 0 THEN ' missing' ELSE ' drawn' END)")
-    f = p.select("p_partkey", "p_brand", F.struct(text.alias("text"), F.lit("").alias("source_quote"), F.expr("CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END").alias("category")).alias("f"))
-    a, b = (f.select("p_brand", F.col("p_partkey").alias(f"{s}"), F.col("f").alias(f"f{s}")) for s in "ab")
-    return a.join(b, "p_brand").where("a < b").select("a", "b", L.is_duplicate("fa", "fb").alias("same"))
+    f = p.select("p_partkey", "page", F.struct(text.alias("text"), F.lit("").alias("source_quote"), F.expr("CASE p_size % 6 WHEN 0 THEN 'question' WHEN 1 THEN 'clarity' ELSE 'code' END").alias("category")).alias("f"))
+    a, b = (f.select("page", F.col("p_partkey").alias(f"{s}"), F.col("f").alias(f"f{s}")) for s in "ab")
+    return a.join(b, "page").where("a < b").select("a", "b", L.is_duplicate("fa", "fb").alias("same"))
 
 
 @query("""SELECT p_partkey, 'M-' || p_size || '.' || (p_partkey % 9) AS id FROM part""")
