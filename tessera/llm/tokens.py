@@ -99,7 +99,8 @@ class Encoder(dict):
 
     The tokenizer's pre-tokenizer never joins what white space divides, nor letters and the marks
     behind them, so a text's ids are those of its pieces in turn; and its normaliser lower-cases, so
-    A-Z may be lowered in a piece of letters alone, where nothing can be composed. ``check`` holds a
+    A-Z may be lowered first in a text without combining marks, and in a piece of letters alone (nothing
+    is composed there), but not where a special token could arise from it. ``check`` holds a
     tokenizer to both on a probe before it is used so; any other encodes whole texts."""
 
     def __init__(self, path: str, end_id: int):
@@ -135,7 +136,10 @@ class Encoder(dict):
     def pieces(text: str) -> list[str]:
         if "<|" in text:
             return _WORD.findall(text)
-        return _PIECE.findall(text)
+        data = text.encode("utf-8", "surrogatepass")
+        if b"\xcc" in data or b"\xcd" in data:  # U+0300 to U+036F are all that can be composed with a letter of A-Z
+            return _PIECE.findall(text)
+        return _PIECE.findall(data.lower().decode("utf-8", "surrogatepass"))
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
