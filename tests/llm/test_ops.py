@@ -629,3 +629,12 @@ def test_licences_in_documents(spark, sf, docs):
     want = {d for d, t in docs if re.search(r"(?m)^(Released under the MIT License|Licensed under|This work is licensed under).*\.$", t)}
     got = {r.doc_id for r in licenses.op10_license_scan(spark, sf).where("n_matches > 0").collect()}
     assert got == want and want
+
+
+def test_licenses_every_pair_on_adjacent_lines():
+    import itertools
+
+    scanner = licenses.Scanner()
+    for (a, x), (b, y) in itertools.combinations(licenses.TEMPLATES, 2):
+        got = {m["license"] for m in scanner.scan(f"Some words of prose here.\n{x}\n{y}\nAnd more words.")}
+        assert got == {a, b}, (a, b, got)
