@@ -353,7 +353,7 @@ def sheet_status(spark, sf_dir):
 @query("""WITH r AS (SELECT c_nationkey AS run, count(*) AS sheets, CAST(sum(c_custkey % 5) AS BIGINT) AS findings, count(*) FILTER (WHERE c_acctbal < 0) AS failed, min(c_name) AS note FROM customer GROUP BY 1)
 SELECT run, '{"run":' || run || ',"sheets":' || sheets || ',"findings":' || findings || ',"failed":' || failed || ',"note":"key sk-[REDACTED] of ' || note || '"}' AS manifest FROM r""")
 def run_manifest(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run")).agg(F.count("*").alias("sheets"), F.sum(F.col("c_custkey") % 5).alias("findings"), F.count_if(F.col("c_acctbal") < 0).alias("failed"), F.concat(F.lit("key sk-ant-" + "a1B2" * 8 + " of "), F.min("c_name")).alias("note"))
+    r = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run")).agg(F.count("*").alias("sheets"), F.sum(F.col("c_custkey") % 5).alias("findings"), F.count_if(F.col("c_acctbal") < 0).alias("failed"), F.concat(F.lit("key sk-test-" + "a1B2" * 8 + " of "), F.min("c_name")).alias("note"))
     return r.select("run", V.manifest(F.struct("run", "sheets", "findings", "failed", "note")).alias("manifest"))
 
 
