@@ -1,7 +1,7 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over each text's bytes; its 32 bits depend on the last 32 bytes alone. A cut falls
-where the hash's top bits are zero and no such place lies within the ``MIN_CHUNK`` bytes before, so
+A gear hash rolls over each text's bytes; its bit b depends on the last b + 1 bytes alone. A cut falls
+where ``CUT_BITS`` bits below bit ``WINDOW`` are zero and no such place lies within the ``MIN_CHUNK`` bytes before, so
 cuts depend on nearby content only and an insertion moves no cut beyond it; longer stretches are cut
 every ``MAX_CHUNK`` bytes from the last cut. Chunks are known by a 128-bit digest, and of equal chunks
 the first (by id, then offset) stays. Chunks that occur twice or more and follow one another form
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from tessera.store import Store, ship, table
 
 MIN_CHUNK, MAX_CHUNK = 16, 512
-#: A cut is a place whose top hash bits are zero: one in 2**CUT_BITS bytes, less what MIN_CHUNK forbids.
-CUT_BITS = 5
+#: A cut is a place whose hash bits below bit WINDOW are zero: one in 2**CUT_BITS bytes, less what MIN_CHUNK forbids.
+#: A cut depends on the last WINDOW + MIN_CHUNK bytes, so a repeat is cut alike from there on.
+CUT_BITS, WINDOW = 4, 16
 MIN_RUN = 120
 PASS_BYTES = 4 << 20
 GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -46,9 +47,9 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 def cuts_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chunks of the texts at [starts, ends) in ``data``: (text, begin, end), in order."""
     h = gear_hash(np.frombuffer(data, np.uint8))
-    hit = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1  # a cut stands behind its byte
+    hit = np.flatnonzero(h >> np.uint32(WINDOW - CUT_BITS) & np.uint32((1 << CUT_BITS) - 1) == 0) + 1  # a cut stands behind its byte
     own = np.searchsorted(starts, hit - 1, side="right") - 1
-    inside = (hit - starts[own] >= 32) & (hit < ends[own])  # the first 31 bytes' hashes see what stands before the text
+    inside = (hit - starts[own] >= WINDOW) & (hit < ends[own])  # the first bytes' hashes see what stands before the text
     hit, own = hit[inside], own[inside]
     lonely = np.ones(len(hit), bool)
     lonely[1:] = (np.diff(hit) >= MIN_CHUNK) | (own[1:] != own[:-1])

@@ -246,6 +246,27 @@ def test_substring_brute_force(spark):
     assert all(len(cut[d].encode()) == len(texts[d].encode()) - got[d].removed_bytes for d in parts)
 
 
+@pytest.mark.parametrize(("size", "least"), [(250, 0.9), (300, 0.97), (400, 1)])
+def test_short_repeats_are_reported(size, least):
+    """A repeated passage of about 50 words in two otherwise different texts keeps a run of whole shared chunks."""
+    rng = random.Random(size)
+    make = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n)).encode()
+    found = 0
+    for _ in range(300):
+        passage = make(size)[:size]
+        texts = [make(rng.randint(20, 60)) + b" " + passage + b" " + make(30) for _ in range(2)]
+        runs = []
+        for t in texts:
+            _, b, e = chunks.cuts_of(t, np.array([0]), np.array([len(t)]))
+            runs.append([t[x:y] for x, y in zip(b, e, strict=True)])
+        other, best, now = set(runs[1]), 0, 0
+        for c in runs[0]:
+            now = now + len(c) if c in other else 0
+            best = max(best, now)
+        found += best >= chunks.MIN_RUN
+    assert found >= least * 300
+
+
 # 4
 def edit_distance_in(item, text):
     """Least edits of ``item`` to a substring of ``text``."""
