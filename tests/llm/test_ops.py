@@ -279,11 +279,14 @@ def edit_distance_in(item, text):
     return min(row)
 
 
-def test_decontamination_brute_force():
+@pytest.mark.parametrize("hot", [decontaminate.HOT, 1, 0])
+def test_decontamination_brute_force(hot):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(2, 8)))
-    items = [" ".join(word() for _ in range(rng.randint(3, 30))) for _ in range(12)]
-    index = decontaminate.Index([(i, decontaminate.normal(t)) for i, t in enumerate(items)])
+    opening = " ".join(word() for _ in range(6)) + " "
+    items = [opening * (i % 3 == 0) + " ".join(word() for _ in range(rng.randint(3, 30))) for i in range(12)]
+    index = decontaminate.Index([(i, decontaminate.normal(t)) for i, t in enumerate(items)], hot=hot)
+    assert hot == decontaminate.HOT or (index.need < index.least).any()
     texts = []
     for k in range(60):
         body = list(rng.choice(items))
@@ -294,20 +297,35 @@ def test_decontamination_brute_force():
     normal = [decontaminate.normal(t) for t in texts]
     for t, hits in zip(normal, index.search(normal), strict=True):
         got = {h[0]: min(x[3] for x in hits if x[0] == h[0]) for h in hits}
-        for i, (_, item) in enumerate(index.items):
+        for i, item in enumerate(index.texts):
             least = edit_distance_in(item, t)
             assert (i in got) == (least <= index.k[i]), (i, least, index.k[i])
             if i in got:
                 assert got[i] == least
 
 
+def test_decontamination_common_opening():
+    """Items that open alike are not each paired with a text that holds the opening alone; equal items are each reported."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeghilmnorstu") for _ in range(rng.randint(3, 9)))
+    opening = "which of the following statements is "
+    items = [opening + " ".join(word() for _ in range(25)) for _ in range(2000)]
+    index = decontaminate.Index([(i, decontaminate.normal(t)) for i, t in enumerate([*items, items[7], "short"])])
+    alone = decontaminate.normal((opening + " ".join(word() for _ in range(9)) + " ") * 12)
+    assert sum(len(x[0]) for x in index._pairs(alone)) < 5000
+    text = decontaminate.normal("short " + items[7] + " and short " + items[1999])
+    got = index.search([alone, text])
+    assert got[0] == [] and [(h[0], h[3]) for h in got[1]] == [(7, 0), (1999, 0), (2000, 0), (2001, 0), (2001, 0)]
+
+
 def test_decontamination_finds_all_exact(spark, sf, docs):
     bench = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {(d, i) for i, x in bench for d, t in docs if x in decontaminate.normal(t)}
     got = decontaminate.op4_decontaminate(spark, sf).where("contaminated").collect()
     assert want <= {(r.doc_id, i) for r in got for i in r.item_ids}
-    small = decontaminate.leaks(spark, F.col("text"), spark.read.parquet(f"{sf}/benchmark.parquet"), block_bytes=1500)
-    again = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", small.alias("h")).where("size(h) > 0").collect()
+    small = decontaminate.with_leaks(spark, spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), "h", block_bytes=1500)
+    assert small.count() == len(docs)
+    again = small.where("size(h) > 0").collect()
     assert {(r.doc_id, x.item_id) for r in again for x in r.h} == {(r.doc_id, i) for r in got for i in r.item_ids}
 
 
