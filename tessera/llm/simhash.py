@@ -312,9 +312,10 @@ def link_alike(ids: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, chunk
     return out
 
 
-def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``rows``: stored (tid, text, u), tid a hash of the text and u a row's own name. Returns links
-    (a, b) of tids that connect what pairs of texts sharing ``similarity`` of their word shingles connect.
+def near_copies(spark: SparkSession, rows: DataFrame, names: DataFrame, store: Store, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``rows``: stored (u, text), u a row's own name. ``names``: stored (tid, u), a number for each different
+    text and one row that holds it. Returns links (a, b) of tids that connect what pairs of texts sharing
+    ``similarity`` of their word shingles connect.
 
     Texts with equal shingle sets collapse to one. Texts whose SimHash fingerprints (of the same shingles) are
     of one component of the vantage-point tree's links share a bucket. At five words and 0.8 two fingerprints
@@ -342,8 +343,7 @@ def near_copies(spark: SparkSession, rows: DataFrame, store: Store, similarity:
             yield pd.Series([shingle_hashes(t, shingle).astype(np.int64) for t in texts])
         tidy()
 
-    named = rows.groupBy("tid").agg(F.min("u").alias("u"))
-    some = store.stage(rows.join(named.select("u"), "u", "left_semi").select("tid", "u", sketch.asNondeterministic()("text").alias("s")).select("tid", "u", "s.*"), "sketches")
+    some = store.stage(rows.join(names, "u").select("tid", "u", sketch.asNondeterministic()("text").alias("s")).select("tid", "u", "s.*"), "sketches")
     first = some.groupBy("hi", "lo").agg(F.min("tid").alias("rep"), F.count("*").alias("n"))
     same = store.stage(some.select("tid", "hi", "lo").join(first.where("n > 1"), ["hi", "lo"]).where("tid <> rep").select(F.col("tid").alias("a"), F.col("rep").alias("b")), "same")
     alone = store.stage(some.join(same.select(F.col("a").alias("tid")), "tid", "left_anti").select("tid", "size", "fp", "bands"), "alone")
@@ -386,14 +386,18 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, similarity: float
 
     Of a group's rows with one id, the one with the smallest hash of its columns stays. The row is
     found by grouped minima, combined before the shuffle, and taken out by its own name, so no group
-    meets in one task."""
+    meets in one task. Texts are told apart by 128 bits of hashes and numbered, so no two share a name.
+    Null texts count as empty ones, null ids come last, and an empty table gives an empty result."""
     store = Store(spark, "simhash")
     rest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), rest.alias("h"), F.expr("uuid()").alias("u"))
-    kept = store.stage(docs.withColumn("__tessera_tid", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__tessera_row", key), "rows")
-    rows = kept.select(F.col("__tessera_tid").alias("tid"), "text", F.col("__tessera_row.u").alias("u"), F.col("__tessera_row").alias("row"))
-    roots = store.stage(connected_components(spark, near_copies(spark, rows, store, similarity, shingle), store), "roots")
-    firsts = rows.groupBy("tid").agg(F.min("row").alias("row"))
-    best = firsts.join(roots, firsts["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("row").alias("row"))
+    text = F.coalesce("text", F.lit(""))
+    known = F.struct(F.xxhash64(text).alias("hi"), F.xxhash64(F.lit(1), text).alias("lo"))
+    kept = store.stage(docs.withColumn("__tessera_known", known).withColumn("__tessera_row", key), "rows")
+    named = kept.groupBy("__tessera_known").agg(F.min("__tessera_row").alias("row"))
+    named = store.stage(named.select(F.monotonically_increasing_id().alias("tid"), "row"), "names")
+    links = near_copies(spark, kept.select(F.col("__tessera_row.u").alias("u"), "text"), named.select("tid", F.col("row.u").alias("u")), store, similarity, shingle)
+    roots = store.stage(connected_components(spark, links, store), "roots")
+    best = named.join(roots, named["tid"] == roots["node"], "left").groupBy(F.coalesce("root", "tid").alias("root")).agg(F.min("row").alias("row"))
     best = store.stage(best.select(F.col("row.u").alias("__tessera_u")), "best")
     return kept.join(best, kept["__tessera_row"]["u"] == best["__tessera_u"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

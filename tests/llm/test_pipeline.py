@@ -117,7 +117,7 @@ def test_near_copies_star(spark, chunk_rows):
     texts += [" ".join(w for b in o for w in b) for o in orders]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = Store(spark, "test").stage(df.select(F.xxhash64("text").alias("tid"), "text", F.col("doc_id").cast("string").alias("u")), "rows")
-    links = simhash.near_copies(spark, rows, Store(spark, "test"), chunk_rows=chunk_rows).collect()
+    links = simhash.near_copies(spark, rows.select("u", "text"), rows.select("tid", "u"), Store(spark, "test"), chunk_rows=chunk_rows).collect()
     at = {r.tid: int(r.u) for r in rows.collect()}
     sets = [simhash.shingle_set(t) for t in texts]
     pairs = [(i, 0) for i in range(1, 301)] + [(i, j) for i in range(301, 331) for j in range(301, i) if alike(sets[i], sets[j])]
