@@ -114,7 +114,7 @@ b AS (SELECT *, max(done) OVER (PARTITION BY job ORDER BY t, seq ROWS BETWEEN UN
 m AS (SELECT *, max(CASE WHEN best IS NULL OR done > best THEN t END) OVER (PARTITION BY job ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS moved FROM b)
 SELECT job, min(t) AS stalled_at, count(*) AS n_stalled FROM m WHERE epoch_us(t) - epoch_us(moved) >= 432000000000 GROUP BY job""")
 def poll_stall_detection(spark, sf_dir):
-    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.expr("cast(round(value) as bigint)").alias("done"))
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.expr("cast(rint(value) as bigint)").alias("done"))
     return R.stalls(p, "job", "at", "done", 432_000)
 
 
