@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.numeric import iou
-from tessera.store import Store
+from tessera.store import CLEAN_SETTING, Store, setting
 
 # Thresholds of the duplicate test.
 TEXT_DUP, MODERATE, IOU_DUP = 0.7, 0.4, 0.5
+#: Tokens whose counts order the prefixes of ``similar_pairs``; the others come before them.
+FREQUENT = 1 << 17
+#: Two sets must share so much of the smaller one in their prefixes.
+SLACK = 0.03
+#: Meetings of equal tokens in one pass, estimated from one in ``SIZED`` hashes.
+PASS_PAIRS, SIZED = 500_000_000, 64
 SEVERITY = {"high": 3, "medium": 2, "low": 1}
 FAMILIES = {
     "digest_json": "digest", "digest_prose_coordination": "digest", "digest_prose_conflict": "digest", "focus_prose": "digest", "critique_1": "critique",
@@ -24,25 +35,89 @@ def severity_rank(severity: Column) -> Column:
     return F.when(severity == "high", 3).when(severity == "medium", 2).otherwise(1)
 
 
-def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, threshold: float = TEXT_DUP) -> DataFrame:
+def _frequent(spark: SparkSession, hashes: DataFrame, store: Store) -> tuple[np.ndarray, np.ndarray]:
+    """(h) -> the hashes met most often, in order, and their counts: at most ``FREQUENT``, taken by classes of counts."""
+    counts = store.stage(hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    steps = counts.groupBy(F.floor(F.log2("c") * 4).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, room = None, FREQUENT
+    for r in sorted(steps, key=lambda r: -r.step):
+        if (room := room - r.n) < 0:
+            break
+        least = r.c
+    top = counts.where(F.col("c") >= least).toPandas().sort_values("h") if least else pd.DataFrame({"h": [], "c": []})
+    store.drop(counts)
+    return top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+
+
+def _needed(n: Column) -> Column:
+    """How many tokens two sets must share in their prefixes, ``n`` being the smaller one's size."""
+    return F.floor(n * SLACK) + 1
+
+
+def similar_pairs(rows: DataFrame, key: str, ident: str, text: str, threshold: float = TEXT_DUP, per_pass: int = PASS_PAIRS) -> DataFrame:
     """Pairs of one key whose token sets have Jaccard ``threshold`` or more: key, a, b, score.
 
-    Prefix filter: two such sets share one of each other's n - ceil(threshold * n) + 1 rarest tokens,
-    so only those meet in the join; frequent tokens never do unless a set has nothing rarer."""
-    own = rows.select(F.col(key).alias("k"), F.col(ident).alias("id"), T.token_set(F.col(text)).alias("s"))
-    own = Store(rows.sparkSession, "pairs").stage(own, "sets").where(F.size("s") > 0)  # read four times
-    tokens = own.select("k", "id", F.explode("s").alias("t"))
-    rank = tokens.groupBy("k", "t").agg(F.count("*").alias("df"))
-    ordered = tokens.join(rank, ["k", "t"]).groupBy("k", "id").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    n = F.size("o")
-    keep = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
-    shared = F.filter(F.slice("o", F.lit(1), keep), lambda x: x["df"] > 1)  # a token of one row meets nobody
-    prefix = ordered.select("k", "id", F.explode(F.transform(shared, lambda x: x["t"])).alias("t"))
-    a, b = prefix.select("k", "t", F.col("id").alias("a")), prefix.select("k", "t", F.col("id").alias("b"))
-    pairs = a.join(b, ["k", "t"]).where("a < b").select("k", "a", "b").distinct()
-    left, right = own.select("k", F.col("id").alias("a"), F.col("s").alias("x")), own.select("k", F.col("id").alias("b"), F.col("s").alias("y"))
-    out = pairs.join(left, ["k", "a"]).join(right, ["k", "b"]).withColumn("score", T.jaccard(F.col("x"), F.col("y")))
-    return out.where(F.col("score") >= threshold).select(F.col("k").alias(key), "a", "b", "score")
+    Equal sets of a key are one set until the end. Tokens stand in one order, rare ones first. Two sets of x and y
+    tokens need r = threshold / (1 + threshold) * (x + y) in common, so at least l of these stand in the first x - r + l of
+    the one and y - r + l of the other; only such meet in the join, and l (one, and 3 % of the smaller set) must be
+    shared before the sets themselves are read. Tokens are known by 64-bit hashes until then. The join runs in as
+    many passes over the smaller sets as keep it near ``per_pass`` meetings, so disk doesn't grow as their square."""
+    spark, store = rows.sparkSession, Store(rows.sparkSession, "pairs")
+    sets = rows.select(F.col(key).alias("k"), F.col(ident).alias("id"), T.token_set(F.col(text)).alias("s")).where("k IS NOT NULL AND id IS NOT NULL AND size(s) > 0")
+    own = store.stage(sets.withColumn("rid", F.monotonically_increasing_id()), "sets", "zstd")
+    same = own.select("k", "id", "rid", F.md5(F.array_join(F.array_sort("s"), " ").cast("binary")).alias("set"))
+    same = store.stage(same.withColumn("rep", F.min("rid").over(Window.partitionBy("k", "set"))).select("k", "id", "rid", "rep"), "same")
+    one = own.join(same.where("rid <> rep").select("rid"), "rid", "left_anti").select("rid", F.transform("s", lambda t: F.xxhash64("k", t)).alias("hs"))
+    known, met = _frequent(spark, one.select(F.explode("hs").alias("h")), store)
+    share, slack = threshold, SLACK
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, ends = batch.column("hs").flatten().to_numpy(), np.cumsum(np.diff(batch.column("hs").offsets.to_numpy()))
+            df = np.zeros(len(hs), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hs), len(known) - 1)
+                df = np.where(known[at] == hs, met[at], 0)
+            out, start = [], 0
+            for rid, end in zip(batch.column("rid").to_numpy(), ends, strict=True):
+                n = int(end - start)
+                most = min(n, n - math.ceil(share * n - 1e-6) + math.floor(n * slack) + 1)
+                first = hs[start:end][np.lexsort((hs[start:end], df[start:end]))[:most]]
+                out.append((first, np.full(most, rid), np.full(most, n, np.int32), np.arange(1, most + 1, dtype=np.int32)))
+                start = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["h", "rid", "n", "at"])
+
+    prefix = store.stage(one.mapInArrow(prefixes, "h long, rid long, n int, at int"), "prefixes")
+    ratio = threshold / (1 + threshold)
+    least = lambda x, y: F.ceil((x + y) * ratio - 1e-6)
+    smaller = F.col("at") <= F.col("n") - least(F.col("n"), F.col("n")) + _needed(F.col("n"))
+    share_of_hashes = prefix.where(F.pmod("h", F.lit(SIZED)) == 0).groupBy("h").agg(F.count("*").alias("n"), F.count_if(smaller).alias("m"))
+    with setting(spark, CLEAN_SETTING, "true"):
+        meetings = (share_of_hashes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0) * SIZED
+    passes = -(-meetings // per_pass) or 1
+    found = None
+    for i in range(passes):
+        a = prefix.where(smaller & (F.pmod(F.xxhash64("rid"), F.lit(passes)) == i)).select("h", F.col("rid").alias("a"), F.col("n").alias("x"), F.col("at").alias("i"))
+        b = prefix.select("h", F.col("rid").alias("b"), F.col("n").alias("y"), F.col("at").alias("j"))
+        x, y, need = F.col("x"), F.col("y"), F.least(_needed(F.col("x")), least(F.col("x"), F.col("y")))
+        within = (F.col("i") <= x - least(x, y) + need) & (F.col("j") <= y - least(x, y) + need)
+        meet = a.join(b, "h").where(((x < y) | (x == y) & (F.col("a") < F.col("b"))) & (x >= y * threshold - 1e-6) & within)
+        pairs = store.stage(meet.select("a", "b", need.cast("int").alias("need")).groupBy("a", "b", "need").agg(F.count("*").alias("c")).where("c >= need").select("a", "b"), "met")
+        ids = store.stage(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "ids")
+        few = own.join(ids, "rid", "left_semi")
+        both = pairs.join(few.select(F.col("rid").alias("a"), F.col("s").alias("x")), "a").join(few.select(F.col("rid").alias("b"), F.col("s").alias("y")), "b")
+        like = both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+        like = store.stage(like, "like")
+        found = like if found is None else found.unionByName(like)
+        store.drop(pairs)
+        store.drop(ids)
+    store.drop(prefix)
+    # equal sets: each row of the one meets each row of the other
+    left, right = same.select("k", F.col("rep").alias("a"), F.col("id").alias("p")), same.select(F.col("rep").alias("b"), F.col("id").alias("q"))
+    across = found.join(left, "a").join(right, "b").select("k", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "score")
+    within = left.join(right, F.col("a") == F.col("b")).where("p < q").select("k", F.col("p").alias("a"), F.col("q").alias("b"), F.lit(1.0).alias("score"))
+    return across.where("a < b").unionByName(within.where(F.lit(threshold <= 1))).select(F.col("k").alias(key), "a", "b", "score")
 
 
 def compatible(a: str, b: str) -> Column:
