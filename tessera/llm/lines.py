@@ -10,7 +10,7 @@
 3. Lines that agree in a band of ``ROWS`` minima share a bucket. ``BANDS`` bands reuse the minima.
 4. A bucket's lines meet its smallest line; a pair counts once over all bands. Lines that are not of its
    component by then meet, block by block, all lines of other components in the bucket, so no pair across
-   components is left unchecked and no pairs of a group are written out.
+   components is left unchecked; at most ``FEW`` pairs of a line and block are written out.
 5. Pairs of which ``AGREE`` minima agree are verified by the exact Jaccard index of the shingle sets (within
    blocks, a bitmap of the sets first rules out pairs that cannot share enough).
 6. Star rounds (large-star and small-star) join the links into components; of each component the
@@ -46,6 +46,8 @@ AGREE = 16
 THIN = 256
 #: Lines, and characters, of a block: a large bucket is compared block by block.
 BLOCK_LINES, BLOCK_CHARS = 64, 1 << 15
+#: Pairs that a line may write out for each block; more of them are verified within the block.
+FEW = 32
 #: Rows up to this count are sent to the executors (they are counted first, 16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,12 +75,9 @@ def bands(minima: int = MINIMA, count: int = BANDS, rows: int = ROWS) -> list[li
 
 
 def normal(line: Column) -> Column:
-    plain = F.when(line.rlike(r"[\t-\r]|  "), F.regexp_replace(line, r"[ \t-\r]+", " ")).otherwise(line)
-    return F.lower(F.btrim(plain))
-
-
-def with_word(line: Column) -> Column:
-    return line.rlike(r"[^ \t-\r]")
+    """Lower case, single spaces; empty for a line without a word. Bytes are looked for, as a pattern costs several times as much."""
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", *"\t\n\v\f\r")])
+    return F.lower(F.btrim(F.when(odd, F.regexp_replace(line, r"[ \t-\r]+", " ")).otherwise(line)))
 
 
 def line_id(norm: Column) -> Column:
@@ -97,7 +96,8 @@ def shingle(wide: Column, at: Column, size: int = SHINGLE) -> Column:
 
 def shingle_set(norm: Column, size: int = SHINGLE) -> Column:
     """The distinct shingle hashes of a line. The outer transform binds the UTF-32 form, so it is made once a line, not once a shingle."""
-    each = F.transform(F.array(F.encode(norm, "UTF-32")), lambda wide: F.transform(places(norm, size), lambda at: shingle(wide, at, size)))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(0), F.length(norm) - size) * 4 + 1, F.lit(4))  # bytes; equal to places()
+    each = F.transform(F.array(F.encode(norm, "UTF-32")), lambda wide: F.transform(starts, lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * size)))))
     return F.array_distinct(each[0])
 
 
@@ -106,8 +106,9 @@ def signatures(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     minimum) and main, true once a line.
 
     The exchange that makes lines distinct serves the minima too."""
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).where(with_word(F.col("line"))).select(normal(F.col("line")).alias("norm"))
-    one = lines.select(line_id(F.col("norm")).alias("lid"), "norm").groupBy("lid").agg(F.min("norm").alias("norm"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(normal(F.col("line")).alias("norm"))
+    # lines without a word go behind the grouping: a filter before it would normalise each line twice
+    one = lines.select(line_id(F.col("norm")).alias("lid"), "norm").groupBy("lid").agg(F.min("norm").alias("norm")).where("norm <> ''")
     n, most = F.greatest(F.lit(1), F.length("norm") - size + 1), int(THIN / SIMILARITY)
     kinds = F.when(n < THIN, F.array(F.lit(False))).when(n <= most, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
     each = one.select("lid", "norm", F.explode(kinds).alias("thin")).select("lid", "thin", F.encode("norm", "UTF-32").alias("wide"), places(F.col("norm"), size).alias("at"))
@@ -119,8 +120,8 @@ def signatures(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     words = [reduce(lambda x, y: x.bitwiseOR(y), [byte(k) for k in range(w, w + 8)]).alias(f"w{w // 8}") for w in range(0, MINIMA, 8)]
     # a line that repeats a few shingles may have none whose hash ends in 00: all such lines share a bucket
     none = [F.coalesce("thin", F.lit(True)).alias("thin"), F.coalesce("bands", F.array(F.lit(0).cast("long"))).alias("bands"), *[F.coalesce(w, F.lit(0).cast("long")).alias(w) for w in WORDS]]
-    own = one.join(least.select("lid", "thin", keys.alias("bands"), *words), "lid", "left").select("lid", "norm", *none)
-    return own.withColumn("main", ~F.col("thin") | (F.length("norm") - size + 1 > most))
+    own = one.join(least.select("lid", "thin", keys.alias("bands"), *words), "lid", "left").select("lid", "norm", F.length("norm").alias("length"), *none)
+    return own.withColumn("main", ~F.col("thin") | (F.col("length") - size + 1 > most))
 
 
 def agreeing(x: Column, y: Column) -> Column:
@@ -161,14 +162,15 @@ def small(df: DataFrame, stored: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored.count() <= BROADCAST_ROWS else df
 
 
-def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE, block_lines: int = BLOCK_LINES) -> DataFrame:
+def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity: float = SIMILARITY, size: int = SHINGLE, block_lines: int = BLOCK_LINES, few: int = FEW) -> DataFrame:
     """Links (a, b) that connect exactly what alike lines of shared buckets connect; ``lines``: stored ``signatures``.
 
     First each line meets the smallest of its bucket. A line that is not of that line's component then
-    meets blocks of the bucket's lines; a link is given once for each component that it joins, under the
-    component's name, so no pair of a group is written out."""
+    meets blocks of the bucket's lines. Up to ``few`` lines of a block that may be alike are written out as
+    pairs; where there are more, a link is given once for each component that it joins, under the component's
+    name, so no more than ``few`` pairs of a line and block are written."""
     sketch = F.struct(*WORDS).alias("s")
-    each = lines.select(F.explode("bands").alias("bucket"), "lid", "thin", F.length("norm").alias("length"), sketch)
+    each = lines.select(F.explode("bands").alias("bucket"), "lid", "thin", "length", sketch)
     shared = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("lid").alias("pivot"), F.sum("length").alias("length")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / block_lines), F.ceil(F.col("length") / BLOCK_CHARS)).cast("int").alias("blocks")
     shared = store.stage(shared.select("bucket", "n", "pivot", blocks), "buckets")
@@ -186,21 +188,39 @@ def line_links(spark: SparkSession, lines: DataFrame, store: Store, similarity:
     now = now.select("bucket", "blocks", "lid", "s", root_of("lid").alias("root"), (root_of("lid") != root_of("pivot")).alias("apart"), F.pmod(F.xxhash64("lid", F.lit(5)), "blocks").cast("int").alias("k"))
     now = store.stage(now, "now")
     mine = now.where("apart").select("bucket", "lid", "root", "s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    theirs = now.groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s")).alias("block"))
-    plausible = lambda x: (x["root"] != F.col("root")) & (agreeing(F.col("s"), x["s"]) >= AGREE)
+    theirs = now.groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s", "lid", "apart")).alias("block"))
+    # of two lines that are both apart, the smaller meets the larger
+    once = lambda x: (x["root"] != F.col("root")) & (~x["apart"] | (x["lid"] > F.col("lid")))
+    plausible = lambda x: once(x) & (agreeing(F.col("s"), x["s"]) >= AGREE)
     mine = store.stage(mine.join(theirs, ["bucket", "k"]).where(F.exists("block", plausible)).select("bucket", "k", "lid", "root", "s"), "mine")
-    blocks = store.stage(now.join(mine.select("bucket", "k").distinct(), ["bucket", "k"], "left_semi"), "theirs")
+    theirs_of = lambda df: store.stage(df.join(mine.select("bucket", "k").distinct(), ["bucket", "k"], "left_semi"), "theirs")
+    blocks = theirs_of(now)
     ids = store.stage(mine.select("lid").unionByName(blocks.select("lid")).distinct(), "ids")
     active = store.stage(lines.where("main").select("lid", "norm").join(small(ids, ids), "lid", "left_semi"), "active")
     active = store.stage(active.join(bitmaps(active, size), "lid"), "bits")
-    theirs = blocks.join(active, "lid").groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s", "m", *BITS, "norm")).alias("block"))
+    own = F.struct("m", *BITS)
+
+    def possible(v: Column) -> Column:
+        return plausible(v) & enough(v, most_shared(F.col("own"), v))
+
+    def enough(v: Column, both: Column) -> Column:
+        return both >= similarity * (F.col("own.m") + v["m"] - both)
+
+    # what the bitmaps leave of a line's block is verified pair by pair, once over all buckets, where it is FEW lines; else within the block
+    bits = active.drop("norm")
+    theirs = blocks.join(bits, "lid").groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s", "lid", "apart", "m", *BITS)).alias("block"))
+    near = mine.join(bits, "lid").select("bucket", "k", "lid", "root", "s", own.alias("own")).join(theirs, ["bucket", "k"])
+    near = near.select("bucket", "k", "lid", "root", "s", F.transform(F.filter("block", possible), lambda v: v["lid"]).alias("of")).where(F.size("of") > 0)
+    near = store.stage(near.withColumn("of", F.when(F.size("of") <= few, F.col("of"))), "near")
+    pairs = near.select("lid", F.explode("of").alias("other")).select(F.least("lid", "other").alias("a"), F.greatest("lid", "other").alias("b"))
+    pairs = store.stage(pairs.distinct(), "few")
+    links = links.unionByName(store.stage(similar(pairs, lines_of(lines, pairs, store), similarity, size), "links"))
+    mine = near.where("of IS NULL").drop("of")
+    blocks = theirs_of(blocks)
+    theirs = blocks.join(active, "lid").groupBy("bucket", "k").agg(F.collect_list(F.struct("root", "s", "lid", "apart", "m", *BITS, "norm")).alias("block"))
     theirs = theirs.select("bucket", "k", F.transform("block", lambda x: x.withField("x", shingle_set(x["norm"], size)).dropFields("norm")).alias("block"))
-    mine = mine.join(active, "lid").repartition("bucket", "k").select("bucket", "k", "lid", "root", "s", F.struct("m", *BITS).alias("own"), shingle_set(F.col("norm"), size).alias("x"))
-
-    def alike(v: Column) -> Column:
-        enough = lambda both: both >= similarity * (F.col("own.m") + v["m"] - both)
-        return plausible(v) & enough(most_shared(F.col("own"), v)) & enough(F.size(F.array_intersect(F.col("x"), v["x"])))
-
+    mine = mine.join(active, "lid").repartition("bucket", "k").select("bucket", "k", "lid", "root", "s", own.alias("own"), shingle_set(F.col("norm"), size).alias("x"))
+    alike = lambda v: possible(v) & enough(v, F.size(F.array_intersect(F.col("x"), v["x"])))
     found = mine.join(theirs, ["bucket", "k"]).select("lid", F.array_distinct(F.transform(F.filter("block", alike), lambda v: v["root"])).alias("roots"))
     more = found.where(F.size("roots") > 0).select(F.col("lid").alias("b"), F.explode("roots").alias("a"))
     return links.unionByName(store.stage(more.select("a", "b").distinct(), "more"))
@@ -217,8 +237,10 @@ def fuzzy_lines(spark: SparkSession, docs: DataFrame, store: Store, similarity:
     links = line_links(spark, store.stage(signatures(docs.select("text"), size), "lines", "zstd"), store, similarity, size)
     roots = store.stage(connected_components(spark, links, store), "roots")
     lines = docs.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    lid = F.when(with_word(F.col("line")), line_id(normal(F.col("line"))))
-    seen = store.stage(lines.select("rid", "doc_id", "pos", lid.alias("lid")).where("lid IS NOT NULL OR coalesce(pos, 0) = 0"), "seen")
+    lid = F.when(F.col("norm") != "", line_id(F.col("norm")))
+    # filtered once it is written, so each line is normalised once
+    seen = store.stage(lines.select("rid", "doc_id", "pos", normal(F.col("line")).alias("norm")).select("rid", "doc_id", "pos", lid.alias("lid")), "seen")
+    seen = seen.where("lid IS NOT NULL OR coalesce(pos, 0) = 0")
     named = seen.join(roots, seen["lid"] == roots["node"], "left").select("rid", "doc_id", "pos", F.coalesce("root", "lid").alias("class"))
     named = store.stage(named, "named")
     key = F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "rid", "pos")

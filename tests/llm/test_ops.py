@@ -576,6 +576,36 @@ def test_lines_star_and_unlike_pivots(spark, block):
     assert len(set(met)) - len(set(want)) <= 5  # each variant has one link, to the base, met with probability 0.99
 
 
+def test_lines_pairs_and_blocks_link_alike(spark):
+    """What is left of a bucket gives the same components as pairs and within blocks."""
+    rng = np.random.default_rng(8)
+    base = letters(rng, 240)
+    rows = [base]
+    for _ in range(40):
+        v = list(base)
+        for at in (np.arange(4) * 60 + rng.integers(0, 55, 4)).tolist():
+            v[at] = chr(int(rng.integers(0x400, 0x500))).lower()
+        rows.append("".join(v))
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    store = Store(spark, "test")
+    sig = store.stage(lines.signatures(df), "lines")
+    at = {r.lid: i for i, r in enumerate(sig.where("main").orderBy("lid").collect())}
+    got = [components(len(at), [(at[r.a], at[r.b]) for r in lines.line_links(spark, sig, store, block_lines=20, few=n).collect()]) for n in (0, 1000)]
+    assert got[0] == got[1] and len(set(got[0])) <= 6
+
+
+def test_lines_normal_form_and_shingles(spark):
+    """Blank bytes of each kind, characters outside the first plane, and lines shorter than a shingle."""
+    rows = ["", " ", "\t", "\v\f", "\r", " a", "A\tB", "a  B ", "\fa b\v", "a\u00a0b", "\x1ca", "\U0001F600x\U0001F601yz\U0001F602 \u00c4bc", "abcd", "abcde", "ababababab"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "line string, i int").select("i", lines.normal(F.col("line")).alias("norm"))
+    got = df.select("norm", F.size(lines.shingle_set(F.col("norm"))).alias("n")).orderBy("i").collect()
+    want = [re.sub("[ \t-\r]+", " ", t).strip(" ").lower() for t in rows]
+    assert [r.norm for r in got] == want
+    assert [r.n for r in got] == [len({t[i : i + 5] for i in range(max(1, len(t) - 4))}) for t in want]
+    sig = lines.signatures(df.select(F.col("norm").alias("text")))
+    assert sorted(r.norm for r in sig.where("main").collect()) == sorted({t for t in want if t})
+
+
 # 8
 def test_quality_agrees_with_labels(spark, sf):
     judged = Store(spark, "test").stage(quality.op8_quality_rules(spark, sf), "judged")
